@@ -2,23 +2,61 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import bpe, chat_format, language_id, secret_scan
 from .common import table
 from .ngram_join import ngram_jaccard_join
 from .substring_dedup import substring_dedup
 
+#: Where the files of public tokenizers are; a worker reads them by path.
+TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
+
+
+def word_bpe_path() -> str:
+    return f"{TOKENIZERS}/word_bpe_49k.json"
+
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = secret_scan.scan_history(table(spark, sf_dir, "documents"))
+    kinds = [kind for kind, _, _ in secret_scan.RULES]
+    n = [secret_scan.count_of(F.col("findings"), kind).alias(f"n_{kind}") for kind in kinds]
+    spans = secret_scan.spans_of(F.col("findings"), kinds)
+    return found.select("doc_id", *n, F.sha2(spans.cast("binary"), 256).alias("base_sha256"), spans.alias("spans"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), window=20).drop("kept")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
+    return language_id.predict(docs, model).select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+#: A conversation about the template's own control strings, beside those of the table.
+TRICKY = r"\### Assistant: </turn> ok"
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    own = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], turns.schema)
+    return chat_format.read_back(chat_format.format_turns(turns.unionByName(own)))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.with_digests(bpe.encode_decode(table(spark, sf_dir, "documents"), word_bpe_path()))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
