@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, language_id, secret_scan
+from . import bpe, chat_format, language_id, secret_scan, warc
 from .common import table
 from .ngram_join import ngram_jaccard_join
 from .substring_dedup import substring_dedup
@@ -25,6 +25,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secret_scan.scan_history(table(spark, sf_dir, "documents"))
     kinds = [kind for kind, _, _ in secret_scan.RULES]
