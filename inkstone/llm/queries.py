@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, embedding_graph, language_id, secret_scan, warc
+from . import bpe, chat_format, decontamination, embedding_graph, language_id, secret_scan, warc
 from .common import table
 from .ngram_join import ngram_jaccard_join
 from .substring_dedup import substring_dedup
@@ -55,6 +55,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRICKY = r"\### Assistant: </turn> ok"
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.flags(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     own = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], turns.schema)
