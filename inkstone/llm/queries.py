@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontamination, embedding_graph, language_id, secret_scan, warc
+from . import bpe, chat_format, decontamination, embedding_graph, language_id, pii, secret_scan, warc
 from .common import table
 from .ngram_join import ngram_jaccard_join
 from .substring_dedup import substring_dedup
@@ -55,6 +55,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRICKY = r"\### Assistant: </turn> ok"
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents")).drop("text")
+    n = [pii.count_of(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *n, F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.flags(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
