@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mix64, tune
@@ -95,6 +95,33 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", orders:
     return LanguageModel(langs, log_prob, np.log(np.maximum(docs, 1) / max(docs.sum(), 1)), orders, buckets)
 
 
+def score_texts(m: LanguageModel, texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Language and posterior probability of each text of a batch."""
+    lang, best = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+    grams = [ngrams(t, m.orders, m.buckets) for t in texts]
+    at = np.flatnonzero([len(g) for g in grams])
+    if len(at) and m.langs:
+        sums = np.stack([m.log_prob[grams[i]].sum(0) for i in at]) + m.log_prior
+        p = np.exp(sums - sums.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        top = sums.argmax(1)
+        lang[at] = np.array(m.langs, object)[top]
+        best[at] = p[np.arange(len(at)), top]
+    return lang, best
+
+
+def accepted(text: Column, model: LanguageModel, least: float = 0.5) -> Column:
+    """Whether a text has letters and its language is known with at least this probability; with no model, true."""
+    held = SparkSession.active().sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def ok(texts: pd.Series) -> pd.Series:
+        lang, best = score_texts(held.value, texts)
+        return pd.Series((lang != UNKNOWN) & (best >= least) if held.value.langs else np.ones(len(texts), bool))
+
+    return ok(text)
+
+
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score): the most probable language of each whole text and its posterior probability.
 
@@ -107,19 +134,8 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     held = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = held.value
         for pdf in batches:
-            lang, best = np.full(len(pdf), UNKNOWN, object), np.zeros(len(pdf))
-            grams = [ngrams(t, m.orders, m.buckets) for t in pdf.text]
-            sizes = np.array([len(g) for g in grams])
-            at = np.flatnonzero(sizes)
-            if len(at) and m.langs:
-                sums = np.stack([m.log_prob[grams[i]].sum(0) for i in at]) + m.log_prior
-                p = np.exp(sums - sums.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                top = sums.argmax(1)
-                lang[at] = np.array(m.langs, object)[top]
-                best[at] = p[np.arange(len(at)), top]
+            lang, best = score_texts(held.value, pdf.text)
             yield pd.DataFrame({"doc_id": pdf.doc_id, "lang_pred": lang, "score": best})
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(score, "doc_id long, lang_pred string, score double")

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .char_tagger import PAD, CharTagger, encode
@@ -180,6 +180,17 @@ def tag_texts(tagger: CharTagger, texts: list[str], group: int = 2048) -> list[l
     return out
 
 
+def all_spans(model: CharTagger | None, texts: list[str]) -> tuple[list, list]:
+    """The rules' spans of each text, and those with the model's."""
+    base = [base_spans(t) for t in texts]
+    more = tag_texts(model, texts) if model is not None else [[] for _ in texts]
+    every = []
+    for t, own, new in zip(texts, base, more, strict=True):
+        added = [(k, s, e) for k, s, e in new if plausible(k, t[s:e]) and not any(s < y and x < e for _, x, y in own)]
+        every.append(sorted([*own, *added], key=lambda x: (x[1], KINDS.index(x[0]), x[2])))
+    return base, every
+
+
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 
 
@@ -195,15 +206,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ta
     held = spark.sparkContext.broadcast(tagger or train(rows))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = held.value
         for pdf in batches:
-            texts = [t or "" for t in pdf.text]
-            base = [base_spans(t) for t in texts]
-            more = tag_texts(model, texts) if model is not None else [[] for _ in texts]
-            every = []
-            for t, own, new in zip(texts, base, more, strict=True):
-                added = [(k, s, e) for k, s, e in new if plausible(k, t[s:e]) and not any(s < y and x < e for _, x, y in own)]
-                every.append(sorted([*own, *added], key=lambda x: (x[1], KINDS.index(x[0]), x[2])))
+            base, every = all_spans(held.value, [t or "" for t in pdf.text])
             as_rows = lambda spans: [[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in spans]
             yield pd.DataFrame({"doc_id": pdf.doc_id, "text": pdf.text, "base": as_rows(base), "spans": as_rows(every)})
 
@@ -227,3 +231,15 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
             out += [text[at:s], f"[{k.upper()}]"]
         at = max(at, e)
     return "".join([*out, text[at:]])
+
+
+def redacted(text: Column, tagger: CharTagger | None) -> Column:
+    """The text with every span of the rules' and the model's as [KIND]; null stays null."""
+    held = SparkSession.active().sparkContext.broadcast(tagger)
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        _, spans = all_spans(held.value, [t or "" for t in texts])
+        return pd.Series([None if t is None else redact(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
+
+    return run(text)
