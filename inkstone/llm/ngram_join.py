@@ -24,8 +24,10 @@ from .components import connected_components
 
 #: Shingles of a block at most, but for a block of one pair of documents that are longer.
 BLOCK_SHINGLES = 1_000_000
-#: The weight of a binary probe against a step of the merge, as the DivideSkip heuristic has it.
-MU = 0.01
+#: The weight of a binary probe against a step of the merge in the DivideSkip rule for the number of long lists.
+MU = 1.0
+#: Entries of short lists that a heap merges; entries below which no list is long; long lists that are probed at once.
+HEAP_ENTRIES, PROBED, PROBES = 128, 32, 64
 #: Sizes of a class differ by this factor at most.
 CLASS_RATIO = 2.0
 
@@ -77,32 +79,19 @@ def part_signatures(u: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def divide_skip(lists: list[list[int]], t: int, mu: float = MU) -> list[int]:
-    """Ids that occur in at least t of the sorted lists (each id at most once in a list)."""
-    if t <= 0 or len(lists) < t:
-        return []
-    lists = sorted(lists, key=len)
-    n_long = min(t - 1, int(t / (mu * math.log2(len(lists[-1]) + 1) + 1)))
-    short, long_ = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-    need = t - n_long
-    heap = [(lst[0], i) for i, lst in enumerate(short) if lst]
+def heap_merge(lists: list[list[int]], need: int) -> dict[int, int]:
+    """Id and count of the ids in at least ``need`` of the sorted lists: a heap of list heads, which leaps over ids that
+    can't reach it."""
+    heap = [(lst[0], i) for i, lst in enumerate(lists) if lst]
     heapq.heapify(heap)
-    at, found = [0] * len(short), []
+    at, found = [0] * len(lists), {}
     while len(heap) >= need:
         top, popped = heap[0][0], []
         while heap and heap[0][0] == top:
             popped.append(heapq.heappop(heap)[1])
+        target = top + 1
         if len(popped) >= need:
-            count, left = len(popped), n_long
-            for lst in long_:
-                if count + left < t:
-                    break
-                left -= 1
-                k = bisect_left(lst, top)
-                count += k < len(lst) and lst[k] == top
-            if count >= t:
-                found.append(top)
-            target = top + 1
+            found[top] = len(popped)
         else:
             while heap and len(popped) < need - 1:
                 popped.append(heapq.heappop(heap)[1])
@@ -110,26 +99,62 @@ def divide_skip(lists: list[list[int]], t: int, mu: float = MU) -> list[int]:
                 break
             target = heap[0][0]
         for i in popped:
-            at[i] = k = bisect_left(short[i], target, at[i])
-            if k < len(short[i]):
-                heapq.heappush(heap, (short[i][k], i))
+            at[i] = k = bisect_left(lists[i], target, at[i])
+            if k < len(lists[i]):
+                heapq.heappush(heap, (lists[i][k], i))
     return found
 
 
 class BlockIndex:
-    """Inverted lists from shingle to the members of a block."""
+    """Inverted lists from shingle to the members of a block, one after the other; ``keys`` is list number * members +
+    member and so sorted throughout."""
 
     def __init__(self, sets: list[np.ndarray], percent: int):
-        self.sets, self.percent = sets, percent
-        self.sizes = np.array([len(s) for s in sets])
+        self.sizes, self.percent, self.members = np.array([len(s) for s in sets]), percent, max(1, len(sets))
         owner = np.repeat(np.arange(len(sets)), self.sizes)
         flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
         order = np.argsort(flat, kind="stable")  # owners stay in order within a shingle
         flat, self.owner = flat[order], owner[order]
-        self.starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.empty(0, np.int64)
+        fresh = np.ones(len(flat), bool)
+        np.not_equal(flat[1:], flat[:-1], out=fresh[1:])
+        self.starts = np.flatnonzero(fresh)
         self.tokens = flat[self.starts]
-        self.ends = np.r_[self.starts[1:], len(flat)]
-        self.kept: dict[int, list[int]] = {}
+        self.lengths = np.diff(np.append(self.starts, len(flat)))
+        self.keys = (np.cumsum(fresh) - 1) * self.members + self.owner
+
+    def divide_skip(self, lists: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """(members, counts) of the members in at least t of the given lists.
+
+        The L longest lists are left out of the merge, so a member needs t - L there; only such members are looked for in
+        the long lists, by binary search, as long as they can still reach t.  Short lists of few entries are merged with a
+        heap; of many, by sorting them together, which is the same merge at numpy's speed.
+        """
+        none = np.empty(0, np.int64), np.empty(0, np.int64)
+        if t <= 0 or len(lists) < t:
+            return none
+        lengths = self.lengths[lists]
+        order = np.argsort(lengths, kind="stable")
+        lists, lengths = lists[order], lengths[order]
+        n_long = min(t - 1, int(t / (MU * math.log2(int(lengths[-1]) + 1) + 1)), int((lengths >= PROBED).sum()))
+        short, need = lists[: len(lists) - n_long], t - n_long
+        starts, sizes = self.starts[short], lengths[: len(short)]
+        if (total := int(sizes.sum())) <= HEAP_ENTRIES:
+            found = heap_merge([self.owner[s : s + n].tolist() for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)], need)
+            ids, counts = np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
+        else:
+            at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)
+            merged = np.bincount(self.owner[at])
+            ids = np.flatnonzero(merged >= need)
+            counts = merged[ids]
+        for i in range(len(short), len(lists), PROBES):
+            if not len(ids):
+                return none
+            probes = lists[i : i + PROBES, None] * self.members + ids
+            k = np.minimum(np.searchsorted(self.keys, probes), len(self.keys) - 1)
+            counts = counts + (self.keys[k] == probes).sum(0)
+            can = counts + max(0, len(lists) - i - PROBES) >= t
+            ids, counts = ids[can], counts[can]
+        return ids, counts
 
     def search(self, q: np.ndarray, least_list: int = 2) -> list[int]:
         """Members whose Jaccard similarity with the sorted set q reaches the threshold.
@@ -138,30 +163,20 @@ class BlockIndex:
         """
         if not len(q) or not len(self.tokens):
             return []
-        k = np.searchsorted(self.tokens, q)
-        k = k[(k < len(self.tokens)) & (self.tokens[np.minimum(k, len(self.tokens) - 1)] == q)]
-        k = k[self.ends[k] - self.starts[k] >= least_list]
-        t = -(-self.percent * len(q) // 100)  # a partner shares at least this many
-        if len(k) < t:
-            return []
-        lists = []
-        for i in k.tolist():
-            if (lst := self.kept.get(i)) is None:
-                lst = self.kept[i] = self.owner[self.starts[i] : self.ends[i]].tolist()
-            lists.append(lst)
-        out = []
-        for m in divide_skip(lists, t):
-            n = len(self.sets[m])
-            if n * self.percent <= 100 * len(q) and len(q) * self.percent <= 100 * n:
-                common = len(np.intersect1d(q, self.sets[m], assume_unique=True))
-                if 100 * common >= self.percent * (len(q) + n - common):
-                    out.append(m)
-        return out
+        k = np.minimum(np.searchsorted(self.tokens, q), len(self.tokens) - 1)
+        k = k[(self.tokens[k] == q) & (self.lengths[k] >= least_list)]
+        members, common = self.divide_skip(k, -(-self.percent * len(q) // 100))  # a partner shares at least this many
+        ok = 100 * common >= self.percent * (len(q) + self.sizes[members] - common)  # the counts are whole overlaps
+        return members[ok].tolist()
 
 
 def block_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that join the members of a block as all its links would: a query is left out only when every member that
-    it could still be compared with is joined to it already."""
+    """Links that join the members of a block as all its links would.
+
+    A pair is settled once either member was a query, or both are joined.  Queries come from the component with the
+    fewest members that were none yet; when one component alone has such members, all pairs are settled.  So in a group of
+    near copies a few queries do.
+    """
     index, root = BlockIndex(sets, percent), list(range(len(ids)))
 
     def find(i: int) -> int:
@@ -169,22 +184,28 @@ def block_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tu
             root[i] = i = root[root[i]]
         return i
 
-    waiting, links = dict.fromkeys(range(len(ids)), 1), []  # members of each component that were no query yet
-    left = len(ids)
-    for q in range(len(ids)):
-        r = find(q)
-        if left == waiting[r]:  # all others that wait are joined to q
-            left -= 1
-            waiting[r] -= 1
+    waiting, links = {i: [i] for i in range(len(ids))}, []  # by component, the members that were no query yet
+    heap = [(1, i) for i in range(len(ids))]
+    while len(waiting) > 1:
+        size, r = heapq.heappop(heap)
+        if r not in waiting or len(waiting[r]) != size:
             continue
-        left -= 1
-        waiting[r] -= 1
+        q = waiting[r].pop()
         for m in index.search(sets[q]):
             a, b = find(q), find(m)
             if a != b:
+                x, y = waiting.pop(a, []), waiting.pop(b, [])
+                if len(x) < len(y):
+                    a, b, x, y = b, a, y, x
                 root[b] = a
-                waiting[a] += waiting.pop(b)
+                x.extend(y)
+                waiting[a] = x
                 links.append((ids[q], ids[m]))
+        r = find(q)
+        if waiting[r]:
+            heapq.heappush(heap, (len(waiting[r]), r))
+        else:
+            del waiting[r]
     return links
 
 
