@@ -94,7 +94,7 @@ _query("replacements", *ORDER, "concat('订单', o_orderkey, '状态`订单`')",
 _query("replacements_native", *ORDER, "concat('订单', o_orderkey, '状态')", lambda c: ops.native_replace(c, list(_PAIRS)), "concat('票据', o_orderkey, '状态')")
 _query("conversion_with_dictionary", *ORDER, "concat('汉语', o_orderkey, '`汉`汉')", lambda c: ops.format_column(c, Request("none", conversion="s2t"), {"汉": "漢", "汉语": "漢語"}), "concat('漢語', o_orderkey, ' `汉` 漢')")
 _query("newline_styles", *ORDER, "concat('单', o_orderkey, chr(13), chr(10), '好,的')", lambda c: ops.format_column(c, "defaults"), "concat('单 ', o_orderkey, chr(13), chr(10), '好，的')")
-_query("protected_structures", *ORDER, "concat('式$x^', o_orderkey, '$和\\(a,b\\)与H₂O,[a,b](c)<b>d,e</b>甲')", lambda c: ops.format_column(c, "defaults"), "concat('式 $x^', o_orderkey, '$ 和 \\(a,b\\) 与 H₂O , [a,b](c) <b>d,e</b> 甲')")
+_query("protected_structures", *ORDER, "concat('式$x^', o_orderkey, '$和', chr(92), '(a,b', chr(92), ')与H₂O,[a,b](c)字<b>d,e</b>甲')", lambda c: ops.format_column(c, "defaults"), "concat('式 $x^', o_orderkey, '$ 和 ', chr(92), '(a,b', chr(92), ') 与 H₂O , [a,b](c) 字 <b>d,e</b> 甲')")
 _query("graphemes", "nation", "n_nationkey", "concat(n_name, 'é👩‍👩‍👧好')", lambda c: F.size(ops.graphemes_column(c)).cast("long"), "length(n_name) + 3")
 _query("chemical_formulas", *PART, "concat('水H₂O与', p_brand, '和Fe²⁺')", lambda c: F.array_join(ops.formulas_column(c), ","), "'H₂O,Fe²⁺'")
 _query("text_statistics", "documents", "doc_id", "text", lambda c: F.concat_ws(",", F.length(c), F.octet_length(c)), "concat(length({s}), ',', strlen({s}))")
