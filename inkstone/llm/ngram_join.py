@@ -110,7 +110,7 @@ class BlockIndex:
     member and so sorted throughout."""
 
     def __init__(self, sets: list[np.ndarray], percent: int):
-        self.sizes, self.percent, self.members = np.array([len(s) for s in sets]), percent, max(1, len(sets))
+        self.sizes, self.percent, self.members = np.array([len(s) for s in sets], np.int64), percent, max(1, len(sets))
         owner = np.repeat(np.arange(len(sets)), self.sizes)
         flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
         order = np.argsort(flat, kind="stable")  # owners stay in order within a shingle
