@@ -32,7 +32,7 @@ _SQUARE = r"(?P<sq>\[(?:[^\[\]\\\n]|\\[\s\S]|(?&sq))*+\])"
 _ROUND = r"(?P<ro>\((?:[^()\\\n]|\\[\s\S]|(?&ro))*+\))"
 _CURLY = r"(?P<cu>\{(?:[^{}\\\n]|\\[\s\S]|(?&cu))*+\})"
 URL = rf"(?i:https?://[^{SPACE}，。；：！？、（）《》【】「」“”‘’…—<>'\"]+)"
-EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
+EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 _ATOM = f"[A-Z][a-z]?(?:[0-9]+|[{SUB}]+)?"
 _UNIT = rf"(?:{_ATOM}|\((?:{_ATOM})+\)(?:[0-9]+|[{SUB}]+)?)"
 _CHARGE = f"(?:[{SUPER}]+|[0-9]*[+-])?"
@@ -54,7 +54,7 @@ DOLLAR = regex.compile(r"(?<!\\)(?:\\\\)*+\K\$")
 FORMULA = regex.compile(rf"(?:{_UNIT}|\[{_UNIT}+\])+{_CHARGE}(?:[{MIDDOTS}][0-9]*(?:{_UNIT})+{_CHARGE})*")
 FEATURE = regex.compile(f"[{SUPER}{SUB}{MIDDOTS}]")
 SCIENTIFIC = regex.compile(f"[{MIDDOTS}⁰¹²³⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉⁺⁻]")
-MATH = [regex.compile(p) for p in (r"∂[A-Za-z]+/[∂A-Za-z]+", "[A-Za-z0-9]+(?:≤|≥|≈)[A-Za-z0-9]+", r"\p{Nd}+(?:\.\p{Nd}+)?(?:±|×)\p{Nd}+(?:\.\p{Nd}+)?")]
+MATH = [regex.compile(p) for p in (r"∂[A-Za-z]+/[∂A-Za-z]+", "(?<![A-Za-z0-9])[A-Za-z0-9]++(?:≤|≥|≈)[A-Za-z0-9]+", r"(?<!\p{Nd})\p{Nd}+(?:\.\p{Nd}+)?(?:±|×)\p{Nd}+(?:\.\p{Nd}+)?")]
 
 
 def _an(c: str) -> bool:
