@@ -37,8 +37,8 @@ def ngrams(text: str | None, orders: tuple[int, ...], buckets: int) -> np.ndarra
     if not ok.any():
         return np.empty(0, np.int64)
     c = np.where(ok, c, np.uint32(32)).astype(np.uint64)
-    keep = ok | np.r_[True, ok[:-1]]  # one space of a run
-    c = np.r_[np.uint64(32), c[keep], np.uint64(32)]
+    c = c[ok | np.r_[False, ok[:-1]]]  # one space of a run, and none at the start
+    c = np.r_[np.uint64(32), c, np.full(int(c[-1] != 32), np.uint64(32))]
     out = []
     for n in orders:
         acc = np.full(max(0, len(c) - n + 1), np.uint64(n))
