@@ -47,20 +47,24 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Lets go of shuffle files that no table needs any more; else they stay until the driver happens to collect."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def materialize(df: DataFrame, tag: str, free: bool = False) -> DataFrame:
     """``df`` written to the shared folder and read back: the lineage ends there and survives lost executors.
 
-    free: also let go of the shuffle files behind it, which otherwise stay until the driver collects garbage.
+    free: the step is a large one, so the shuffle files of the steps before it go first.
     """
     spark = df.sparkSession
+    if free:
+        collect_garbage(spark)
     path = f"{shared_dir(spark)}/{tag}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
-    if free:
-        del df
-        gc.collect()
-        spark._jvm.System.gc()
     return out
 
 
@@ -147,3 +151,13 @@ def joined_spans(spans: Iterable[tuple[str, int, int]]) -> str:
 def as_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns that an operator reads, named doc_id and text; other columns can't clash."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def hash_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:
+    """At most ``rows`` rows of a table, the same for the same rows: the one with the smallest hash of each bucket.
+
+    Aggregated map-side, so no more than that reaches the driver however many partitions there are.
+    """
+    h = F.xxhash64(*key)
+    picked = df.groupBy(F.pmod(h, F.lit(rows)).alias("_bucket")).agg(F.min(F.struct(F.xxhash64(F.lit(1), *key).alias("_h"), *df.columns)).alias("_row"))
+    return picked.select("_bucket", "_row.*").orderBy("_bucket").drop("_bucket", "_h")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, tune
+from .common import hash_sample, materialize, tune
 from .components import connected_components
 
 #: Vectors of a shard that are aimed at, and members of a block of a shard at most.
@@ -136,7 +136,7 @@ def _assign(centres, overlap: int):
             s = unit(stack(pdf.vector)) @ c.T
             m = min(overlap, c.shape[0])
             top = np.argpartition(-s, m - 1, axis=1)[:, :m]
-            yield pd.DataFrame({"shard": top.ravel(), "vec_id": np.repeat(pdf.vec_id.to_numpy(), m), "vector": [v for v in pdf.vector for _ in range(m)]})
+            yield pdf.assign(shards=list(np.sort(top, axis=1)))
 
     return run
 
@@ -152,39 +152,60 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _search(least: float):
-    def run(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        """Queries of a block against its united graph; nodes that only a neighbour's list brought in are in it too."""
-        index = nodes[nodes.role < 2].sort_values(["role", "vec_id"]).drop_duplicates("vec_id")
+    def run(key: tuple, nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        """Queries of a block against its united graph; nodes that only a neighbour's list brought in are in it too.
+
+        Rows (a, b, n): with b null, that a has n links here; with n null, a link that the components need; with both, n
+        links of a with the copies of b.  A group of near copies thus gives a row per member and not per pair.  A pair that
+        shares several shards counts in the first of them; one whose b is no member of a's shards is given as a pair.
+        """
+        shard = int(key[0])
+        index = nodes[nodes.role != 2].sort_values(["role", "vec_id"]).drop_duplicates("vec_id")
         ids = index.vec_id.to_numpy()
-        if not len(ids):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        raw = stack(index.vector)
-        x = unit(raw)
-        order = np.argsort(ids)
-        find = lambda v: order[np.minimum(np.searchsorted(ids[order], v), len(ids) - 1)]
-        src, dst = edges.src.to_numpy(np.int64), edges.dst.to_numpy(np.int64)
-        i, j = find(src), find(dst)
-        ok = (ids[i] == src) & (ids[j] == dst)
-        i, j = np.r_[i[ok], j[ok]], np.r_[j[ok], i[ok]]
-        o = np.argsort(i, kind="stable")
-        graph = np.split(j[o], np.cumsum(np.bincount(i, minlength=len(ids)))[:-1])
-        medoid = int((x @ x.mean(0)).argmax())
-        a, b = [], []
-        queries = nodes[nodes.role != 1].drop_duplicates("vec_id")
-        for v, q in zip(queries.vec_id.tolist(), unit(stack(queries.vector)) if len(queries) else (), strict=True):
-            own = int(find(v))
-            hits = range_search(x, graph, q, [medoid, own] if ids[own] == v else [medoid], least)
-            hits = ids[hits]
-            hits = hits[hits != v]
-            a.append(np.full(len(hits), v))
-            b.append(hits)
-        return pd.DataFrame({"a": np.concatenate(a) if a else [], "b": np.concatenate(b) if b else []}, dtype="int64")
+        out: list[tuple] = []
+        queries = nodes[nodes.role.isin((0, 2))].drop_duplicates("vec_id")
+        if len(ids) and len(queries):
+            x = unit(stack(index.vector))
+            copies, member, shards = index.copies.to_numpy(), index.role.to_numpy() < 2, [frozenset(v) for v in index.shards]
+            order = np.argsort(ids)
+            find = lambda v: order[np.minimum(np.searchsorted(ids[order], v), len(ids) - 1)]
+            src, dst = edges.src.to_numpy(np.int64), edges.dst.to_numpy(np.int64)
+            i, j = find(src), find(dst)
+            ok = (ids[i] == src) & (ids[j] == dst)
+            i, j = np.r_[i[ok], j[ok]], np.r_[j[ok], i[ok]]
+            o = np.argsort(i, kind="stable")
+            graph = np.split(j[o], np.cumsum(np.bincount(i, minlength=len(ids)))[:-1])
+            medoid, root = int((x @ x.mean(0)).argmax()), {}
+
+            def top(v: int) -> int:
+                while (p := root.setdefault(v, v)) != v:
+                    root[v] = v = root.setdefault(p, p)
+                return v
+
+            patterns = {p: n for n, p in enumerate(dict.fromkeys(shards))}
+            pattern = np.array([patterns[p] for p in shards])
+            for v, q, own_shards in zip(queries.vec_id.tolist(), unit(stack(queries.vector)), map(frozenset, queries.shards), strict=True):
+                own = int(find(v))
+                hits = range_search(x, graph, q, [medoid, own] if ids[own] == v else [medoid], least)
+                hits = hits[ids[hits] != v]
+                if not len(hits):
+                    continue
+                first = np.array([min(own_shards & p, default=-1) for p in patterns])[pattern[hits]]
+                if n := int(copies[hits[(first == shard) & member[hits]]].sum()):
+                    out.append((v, None, n))
+                out += [(v, int(ids[h]), int(copies[h])) for h in hits[first < 0].tolist()]
+                for w in ids[hits].tolist():
+                    a, b = top(v), top(w)
+                    if a != b:
+                        root[max(a, b)] = min(a, b)
+                        out.append((v, w, None))
+        return pd.DataFrame(out, columns=["a", "b", "n"]).astype("Int64")
 
     return run
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", overlap: int = OVERLAP) -> tuple[DataFrame, DataFrame]:
-    """(one row per vector: vec_id, n_links, component_id, kept; the linked pairs between class representatives).
+def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", overlap: int = OVERLAP) -> DataFrame:
+    """(vec_id, n_links, component_id, kept), one row per vector.
 
     Vectors link at a cosine of at least ``least`` in double precision.  Null, zero, empty or shorter vectors than most,
     and those with null or non-finite components, link with nothing and are their own component.  Equal vectors are one
@@ -198,17 +219,18 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     usable = rows.where(good)
     dims = [r.n for r in usable.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").select("n").limit(1).collect()]
     if not dims:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")), spark.createDataFrame([], "a long, b long")
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     usable = usable.where(F.size("vector") == dims[0])
     # classes of equal vectors; the hash deals, the vector itself decides
     classes = materialize(usable.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    reps = classes.select(F.col("rep").alias("vec_id"), "vector")
+    reps = classes.select(F.col("rep").alias("vec_id"), "vector", "copies")
     n = classes.count()
     k = max(1, math.ceil(n / SHARD))
-    sample = reps.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(FIT_SAMPLE, max(2_000, 20 * k))).toPandas()  # a documented bound
+    sample = hash_sample(reps.select("vec_id", "vector"), min(FIT_SAMPLE, max(2_000, 20 * k)), "vec_id").toPandas()  # a documented bound
     centres = kmeans(unit(stack(sample.vector)), min(k, len(sample)))
     shared = spark.sparkContext.broadcast(centres)
-    dealt = materialize(reps.mapInPandas(_assign(shared, overlap), "shard int, vec_id long, vector array<double>"), "dealt")
+    reps = materialize(reps.mapInPandas(_assign(shared, overlap), "vec_id long, vector array<double>, copies long, shards array<int>"), "reps")
+    dealt = reps.withColumn("shard", F.explode("shards"))
     blocks = dealt.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))  # a row per centre
     dealt = dealt.join(F.broadcast(blocks), "shard").withColumn("block", F.pmod(F.xxhash64("vec_id"), "n_blocks").cast("int"))
     edges = materialize(dealt.groupBy("shard", "block").applyInPandas(_build, "src long, dst long").distinct(), "edges")
@@ -217,56 +239,58 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     members = dealt.select(F.col("shard").alias("of_shard"), F.col("block").alias("of_block"), F.col("vec_id").alias("src"))
     lists = members.join(edges, "src").select("of_shard", "of_block", "src", "dst").distinct()
     halo = lists.select(F.col("of_shard").alias("shard"), F.col("of_block").alias("block"), F.col("dst").alias("vec_id")).distinct().join(reps, "vec_id")
-    nodes = dealt.where("n_blocks = 1").select("shard", "block", "vec_id", "vector", F.lit(0).alias("role"))
+    cols = ["shard", "block", "vec_id", "vector", "copies", "shards"]
+    nodes = dealt.where("n_blocks = 1").select(*cols, F.lit(0).alias("role"))
     split = dealt.where("n_blocks > 1")
-    nodes = nodes.unionByName(split.select("shard", "block", "vec_id", "vector", F.lit(1).alias("role")))
-    nodes = nodes.unionByName(split.select("shard", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), "vec_id", "vector", F.lit(2).alias("role")))
-    nodes = nodes.unionByName(halo.select("shard", "block", "vec_id", "vector", F.lit(1).alias("role")))
-    found = nodes.groupBy("shard", "block").cogroup(lists.groupBy("of_shard", "of_block")).applyInPandas(_search(least), "a long, b long")
-    pairs = materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs", free=True)
-
-    copies = classes.select(F.col("rep").alias("b"), "copies")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    n_links = both.join(copies, "b").groupBy("a").agg(F.sum("copies").alias("linked"))
-    comps = connected_components(pairs, "a", "b")
+    nodes = nodes.unionByName(split.select(*cols, F.lit(1).alias("role")))
+    nodes = nodes.unionByName(split.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(*cols, F.lit(2).alias("role")))
+    nodes = nodes.unionByName(halo.select(*cols, F.lit(3).alias("role")))
+    found = nodes.groupBy("shard", "block").cogroup(lists.groupBy("of_shard", "of_block")).applyInPandas(_search(least), "a long, b long, n long")
+    found = materialize(found, "found", free=True)
+
+    pairs = found.where("b is not null and n is not null").distinct().select("a", "n")
+    n_links = found.where("b is null").select("a", "n").unionByName(pairs).groupBy("a").agg(F.sum("n").alias("linked"))
+    comps = connected_components(found.where("b is not null"), "a", "b")
     per_class = classes.join(n_links, classes.rep == n_links.a, "left").join(comps, classes.rep == comps.node, "left")
     per_class = per_class.select("vector", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     named = rows.withColumn("v", F.when(good, F.col("vector"))).drop("vector").join(per_class.withColumnRenamed("vector", "v"), "v", "left")
     out = named.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), pairs
+    return materialize(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), "vectors")
 
 
-def audit_recall(vectors: DataFrame, pairs: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", queries: int = AUDIT) -> float:
-    """The share of true links, of a fixed number of linked or unlinked queries against all rows, that ``pairs`` has.
+def audit_recall(vectors: DataFrame, result: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", queries: int = AUDIT) -> float:
+    """The share of true links, of a fixed number of queries against all rows, that ``result`` has counted.
 
-    Queries are chosen by hash and half of them among the vectors that have links; all rows are scanned in blocks.
+    Queries are chosen by hash, half of them among the vectors that have links; all rows are scanned in blocks.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector")).where("vec_id is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(vector, x -> x <> 0)")
-    linked = pairs.select(F.col("a").alias("vec_id")).distinct().orderBy(F.xxhash64("vec_id")).limit(queries // 2)
-    other = rows.select("vec_id").orderBy(F.xxhash64("vec_id")).limit(queries - queries // 2)
-    q = rows.join(F.broadcast(linked.union(other).distinct()), "vec_id").dropDuplicates(["vector"]).toPandas()
+    counted = result.where("vec_id is not null").select("vec_id", "n_links")
+    linked = hash_sample(counted.where("n_links > 0"), queries // 2, "vec_id")
+    other = hash_sample(counted, queries - queries // 2, "vec_id")
+    chosen = linked.unionByName(other).select("vec_id", "n_links").distinct()
+    q = rows.join(F.broadcast(chosen), "vec_id").dropDuplicates(["vec_id"]).toPandas()  # no more than ``queries``
     if not len(q):
         return 1.0
     held = spark.sparkContext.broadcast((q.vec_id.to_numpy(), unit(stack(q.vector))))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, x = held.value
+        n = np.zeros(len(ids), np.int64)
         for pdf in batches:
             if len(pdf):
-                i, j = np.nonzero(unit(stack(pdf.vector)) @ x.T >= least)
-                yield pd.DataFrame({"a": ids[j], "b": pdf.vec_id.to_numpy()[i]})
+                n += (unit(stack(pdf.vector)) @ x.T >= least).sum(0)
+        yield pd.DataFrame({"vec_id": ids, "n": n})
 
-    reps = rows.groupBy("vector").agg(F.min("vec_id").alias("vec_id"))
-    true = reps.mapInPandas(scan, "a long, b long").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    got = true.join(pairs.withColumn("hit", F.lit(1)), ["a", "b"], "left").agg(F.count("*").alias("n"), F.sum("hit").alias("hits")).first()
-    return 1.0 if not got.n else (got.hits or 0) / got.n
+    true = rows.where(F.size("vector") == len(q.vector.iloc[0])).mapInPandas(scan, "vec_id long, n long").groupBy("vec_id").agg((F.sum("n") - 1).alias("n"))
+    got = true.toPandas().merge(q[["vec_id", "n_links"]], on="vec_id")
+    return 1.0 if not got.n.sum() else float(np.minimum(got.n_links, got.n).sum() / got.n.sum())
 
 
 def embedding_near_dedup(vectors: DataFrame, least: float = 0.95, target: float = 0.9, **names) -> DataFrame:
     """near_vectors(), built again with more overlap while the audited recall is below the target."""
     for overlap in (OVERLAP, 2 * OVERLAP, 4 * OVERLAP):
-        out, pairs = near_vectors(vectors, least, overlap=overlap, **names)
-        if (recall := audit_recall(vectors, pairs, least, **names)) >= target:
+        out = near_vectors(vectors, least, overlap=overlap, **names)
+        if (recall := audit_recall(vectors, out, least, **names)) >= target:
             break
     return out.withColumn("audited_recall", F.lit(float(recall)))

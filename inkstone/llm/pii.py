@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .char_tagger import PAD, CharTagger, encode
-from .common import tune
+from .common import hash_sample, tune
 
 KINDS = ["email", "ip", "card", "phone"]
 WINDOW, STRIDE, CONTEXT = 64, 32, 24
@@ -136,7 +136,7 @@ def train(docs: DataFrame, windows: int = TRAIN_WINDOWS) -> CharTagger | None:
     """A tagger from at most ``windows`` labelled windows of the documents, or None if they have none."""
     tune(docs.sparkSession)
     found = docs.where("text is not null").mapInPandas(_training, "doc_id long, n int, kind string, x binary, tags binary")
-    got = found.orderBy(F.xxhash64("x"), "x").limit(windows).toPandas()
+    got = hash_sample(found.drop("doc_id", "n"), windows, "x").toPandas()
     if not len(got) or not got.kind.any():
         return None
     x = np.stack([np.frombuffer(v, np.int16) for v in got.x]).astype(np.int64)
