@@ -42,7 +42,7 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents"), window=20).drop("kept")
+    return substring_dedup(table(spark, sf_dir, "documents"), window=20, batches=2).drop("kept")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

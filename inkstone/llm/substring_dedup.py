@@ -15,16 +15,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import STEP, as_text, gram_hashes, materialize, mix64, signed, split_words, tune, word_hashes
+from .common import STEP, as_text, collect_garbage, drop, gram_hashes, materialize, mix64, signed, split_words, tune, word_hashes
 
 #: Words of the runs among which a window's anchor is chosen.
 ANCHOR_WORDS = 5
 #: Bytes that are kept of a window's hash beside its anchor.
 HASH_BYTES = 6
-RUN_SCHEMA = "anchor long, doc_id long, start int, hashes binary"
+ROW_SCHEMA = "anchor long, doc_id long, start int, hashes binary, flags binary"
+ROW_COLUMNS = ["anchor", "doc_id", "start", "hashes", "flags"]
 
 
 def anchors_of_windows(grams: np.ndarray, span: int) -> np.ndarray:
@@ -51,85 +54,123 @@ def short(hashes: np.ndarray) -> bytes:
     return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
 
 
+def runs_of(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the longest stretches in which no column changes."""
+    change = np.zeros(len(columns[0]), bool)
+    change[:1] = True
+    for c in columns:
+        change[1:] |= c[1:] != c[:-1]
+    starts = np.flatnonzero(change)
+    return starts, np.append(starts[1:], len(change))
+
+
+def binary(data: bytes, sizes: np.ndarray) -> pa.Array:
+    """An Arrow column of the next ``sizes`` bytes of the data each."""
+    offsets = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=offsets[1:])
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def edges(starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Ranges of windows, one a row."""
+    return binary(np.stack([starts, ends], 1).astype("<i4").tobytes(), np.full(len(starts), 8))
+
+
 def _fingerprints(window: int):
     """Rows of the documents of a task.  A window that an earlier document of the batch has needs no row: it is a repeat
     already and is flagged on the spot (pre-aggregation, which keeps passages that very many documents share cheap)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf = pdf.sort_values("doc_id", kind="stable")
-            docs, hs, base, total = [], [], [0], 0
-            for d, t in zip(pdf.doc_id, pdf.text, strict=True):
-                words = split_words(t)
-                if len(words) >= window:
-                    docs.append(d)
-                    hs.append(word_hashes(words))
-            if not docs:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = sorted(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True), key=lambda x: x[0])
+            pairs = [(d, w) for d, t in pairs if len(w := split_words(t)) >= window]
+            if not pairs:
                 continue
-            got = [packs(h, window) for h in hs]
-            for g in got:
-                total += len(g[3])
-                base.append(total)
-            all_hashes = np.concatenate([g[3] for g in got])
-            anchor = np.concatenate([np.repeat(g[0], g[2] - g[1]) for g in got])
-            order = np.argsort(mix64(all_hashes + anchor * STEP), kind="stable")  # equal windows side by side, earliest first
-            key = mix64(all_hashes + anchor * STEP)[order]
-            again = np.zeros(total, bool)
-            again[order[1:]] = key[1:] == key[:-1]
-            rows = []
-            for i, (d, g) in enumerate(zip(docs, got, strict=True)):
-                dup = again[base[i] : base[i + 1]]
-                sent = short(g[3])
-                for a, s, e in zip(signed(g[0]).tolist(), g[1].tolist(), g[2].tolist(), strict=True):
-                    if not dup[s:e].any():
-                        rows.append((a, d, s, sent[s * HASH_BYTES : e * HASH_BYTES], None))
-                        continue
-                    fresh = np.flatnonzero(np.diff(np.r_[True, dup[s:e], True].astype(np.int8)))  # ends of the parts that are new
-                    for x, y in zip(fresh[::2].tolist(), fresh[1::2].tolist(), strict=True):
-                        rows.append((a, d, s + x, sent[(s + x) * HASH_BYTES : (s + y) * HASH_BYTES], None))
-                edges = np.flatnonzero(np.diff(np.r_[False, dup, False].astype(np.int8))).astype("<i4")
-                if len(edges):
-                    rows.append((None, d, 0, None, edges.tobytes()))
-            yield pd.DataFrame(rows, columns=["anchor", "doc_id", "start", "hashes", "flags"])
+            got = [packs(word_hashes(w), window) for _, w in pairs]
+            docs, sizes = np.array([d for d, _ in pairs], np.int64), np.array([len(g[3]) for g in got])
+            base = np.cumsum(sizes) - sizes
+            windows = np.concatenate([g[3] for g in got])
+            anchors = np.concatenate([g[0] for g in got])
+            doc = np.repeat(np.arange(len(docs)), sizes)
+            pack = np.repeat(np.arange(len(anchors)), np.concatenate([g[2] - g[1] for g in got]))
+            key = mix64(windows + anchors[pack] * STEP)
+            order = np.argsort(key, kind="stable")  # equal windows side by side, earliest first
+            again = np.zeros(len(key), bool)
+            again[order[1:]] = key[order[1:]] == key[order[:-1]]
+            s, e = runs_of(pack, again)
+            fresh = ~again[s]
+            fs, fe = s[fresh], e[fresh]
+            s, e = runs_of(doc, again)
+            rs, re = s[again[s]], e[again[s]]
+            n, m = len(fs), len(rs)
+            columns = [
+                pa.concat_arrays([pa.array(signed(anchors[pack[fs]])), pa.nulls(m, pa.int64())]),
+                pa.array(docs[doc[np.concatenate([fs, rs])]]),
+                pa.array(np.concatenate([fs - base[doc[fs]], np.zeros(m, np.int64)]).astype(np.int32)),
+                pa.concat_arrays([binary(short(windows[~again]), (fe - fs) * HASH_BYTES), pa.nulls(m, pa.binary())]),
+                pa.concat_arrays([pa.nulls(n, pa.binary()), edges(rs - base[doc[rs]], re - base[doc[rs]])]),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ROW_COLUMNS)
+
+    return run
+
+
+def _merge(keep: bool):
+    """Rows by (anchor, old first, doc_id, start): of new rows, the ranges of windows that came before, as rows without an
+    anchor; such rows also pass as they are.  keep: the new rows are given as well, for the next run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = (None, np.empty(0, np.uint64))
+        for batch in batches:
+            flagged = batch.filter(pc.is_null(batch.column("anchor"))).select(ROW_COLUMNS)
+            if flagged.num_rows:
+                yield flagged
+            batch = batch.filter(pc.is_valid(batch.column("anchor")))
+            if not batch.num_rows:
+                continue
+            found, state = _repeats(batch, *state)
+            n = found.num_rows
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), found.column("doc_id"), pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.binary()), found.column("flags")], ROW_COLUMNS)
+            if keep:
+                yield batch.filter(pc.invert(batch.column("old"))).select(ROW_COLUMNS)
 
     return run
 
 
-def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows by (anchor, old first, doc_id, start): per row the windows that came before, as ranges, and what is new.
+def _repeats(batch: pa.RecordBatch, now: int | None, seen: np.ndarray) -> tuple[pa.RecordBatch, tuple[int, np.ndarray]]:
+    """Ranges of windows of the new rows that came before; and the last anchor, with the windows of it so far.
 
     The hashes of the current anchor are all that is held: eight bytes a distinct window of it.
     """
-    now, seen = None, np.empty(0, np.uint64)
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        anchor = pdf.anchor.to_numpy()
-        sizes = pdf.hashes.map(len).to_numpy() // HASH_BYTES
-        raw = np.zeros((int(sizes.sum()), 8), np.uint8)
-        raw[:, :HASH_BYTES] = np.frombuffer(b"".join(pdf.hashes), np.uint8).reshape(-1, HASH_BYTES)
-        wh = raw.view("<u8").ravel()
-        row = np.repeat(np.arange(len(pdf)), sizes)
-        first = anchor[0] == now
-        group = np.cumsum(np.r_[0, anchor[1:] != anchor[:-1]])
-        g = group[row]
-        order = np.lexsort((np.arange(len(wh)), wh, g))
-        dup = np.zeros(len(wh), bool)
-        dup[order[1:]] = (wh[order[1:]] == wh[order[:-1]]) & (g[order[1:]] == g[order[:-1]])
-        if first and len(seen):
-            head = g == 0
-            dup[head] |= np.isin(wh[head], seen)
-        last = wh[g == group[-1]]
-        seen = np.union1d(seen, last) if first and group[-1] == 0 else np.unique(last)
-        now = anchor[-1]
-        out, ends = [], np.cumsum(sizes)
-        any_dup = np.bincount(row, weights=dup, minlength=len(pdf)) > 0
-        old = pdf.old.to_numpy()
-        for i in np.flatnonzero(any_dup & ~old).tolist():
-            d = dup[ends[i] - sizes[i] : ends[i]]
-            edges = np.flatnonzero(np.diff(np.r_[False, d, False].astype(np.int8))) + int(pdf.start.iat[i])
-            out.append((int(pdf.doc_id.iat[i]), edges.astype("<i4").tobytes()))
-        yield pd.DataFrame(out, columns=["doc_id", "flags"])
+    anchor, doc, start = (batch.column(c).to_numpy() for c in ("anchor", "doc_id", "start"))
+    packed = batch.column("hashes")
+    offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
+    data = np.frombuffer(packed.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    sizes = np.diff(offsets) // HASH_BYTES
+    raw = np.zeros((len(data) // HASH_BYTES, 8), np.uint8)
+    raw[:, :HASH_BYTES] = data.reshape(-1, HASH_BYTES)
+    wh = raw.view("<u8").ravel()
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    group = np.zeros(len(anchor), np.int64)
+    np.cumsum(anchor[1:] != anchor[:-1], out=group[1:])
+    g = group[row]
+    order = np.lexsort((wh, g))  # stable, so earlier rows come first
+    dup = np.zeros(len(wh), bool)
+    dup[order[1:]] = (wh[order[1:]] == wh[order[:-1]]) & (g[order[1:]] == g[order[:-1]])
+    first = anchor[0] == now
+    if first and len(seen):
+        head = g == 0
+        dup[head] |= np.isin(wh[head], seen)
+    last = wh[g == group[-1]]
+    seen = np.union1d(seen, last) if first and group[-1] == 0 else np.unique(last)
+    now = anchor[-1]
+    s, e = runs_of(row, dup)
+    hit = dup[s] & ~batch.column("old").to_numpy(zero_copy_only=False)[row[s]]
+    s, e = s[hit], e[hit]
+    r = row[s]
+    shift = start[r] - (np.cumsum(sizes) - sizes)[r]
+    return pa.RecordBatch.from_arrays([pa.array(doc[r]), edges(s + shift, e + shift)], ["doc_id", "flags"]), (now, seen)
 
 
 def _clean(window: int):
@@ -158,34 +199,43 @@ class FingerprintLog:
         if window < ANCHOR_WORDS:
             raise ValueError(f"a window has at least {ANCHOR_WORDS} words")
         self.spark, self.window, self.max_runs, self.runs = spark, window, max_runs, []
+        self.written: list[DataFrame] = []
 
     def match(self, docs: DataFrame, last: bool = False) -> DataFrame:
         """(doc_id, flags) for a batch whose ids are all above those of earlier batches; the batch becomes a run.
 
-        flags: ranges of window starts that came before.  last: no batch follows, so no run is written.
+        flags: ranges of window starts that came before; write them before the next call.  last: no batch follows, so no
+        run is written.
         """
-        rows = docs.where("doc_id is not null").mapInPandas(_fingerprints(self.window), RUN_SCHEMA + ", flags binary")
-        if not last:
-            rows = materialize(rows, "rows")
-        flagged = rows.where("flags is not null").select("doc_id", "flags")
-        new = rows.where("flags is null").drop("flags")
-        every = new.withColumn("old", F.lit(False))
+        if len(self.runs) > self.max_runs:
+            self.compact()
+        every = docs.where("doc_id is not null").mapInArrow(_fingerprints(self.window), ROW_SCHEMA).withColumn("old", F.lit(False))
         for run in self.runs:
-            every = every.unionByName(run.withColumn("old", F.lit(True)))
-        merged = every.repartition("anchor").sortWithinPartitions("anchor", F.desc("old"), "doc_id", "start").mapInPandas(_merge, "doc_id long, flags binary")
-        if not last:
-            self.runs.append(new.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start"))
-            self.runs[-1] = materialize(self.runs[-1], "run", free=True)
-            if len(self.runs) > self.max_runs:
-                self.compact()
-        return merged.unionByName(flagged)
+            every = every.unionByName(run.withColumn("flags", F.lit(None).cast("binary")).withColumn("old", F.lit(True)))
+        dealt = every.repartition(F.coalesce("anchor", F.xxhash64("doc_id"))).sortWithinPartitions("anchor", F.desc("old"), "doc_id", "start")
+        out = dealt.mapInArrow(_merge(not last), ROW_SCHEMA)
+        if not last:  # what a task writes is in order of the anchor
+            out = materialize(out, "run", free=True)
+            self.written.append(out)
+            self.runs.append(out.where("anchor is not null").drop("flags"))
+        return out.where("flags is not null").select("doc_id", "flags")
+
+    def close(self) -> None:
+        """Deletes the runs; an index that is to be kept is not closed."""
+        for run in self.written:
+            drop(run)
+        self.runs, self.written = [], []
 
     def compact(self) -> None:
-        """All runs merged into one sorted run, without the windows that an older row already has."""
+        """All runs merged into one sorted run."""
         every = self.runs[0]
         for run in self.runs[1:]:
             every = every.unionByName(run)
-        self.runs = [materialize(every.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start"), "run", free=True)]
+        old = self.written
+        out = materialize(every.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start"), "run", free=True)
+        self.runs, self.written = [out], [out]
+        for run in old:
+            drop(run)
 
 
 def substring_dedup(docs: DataFrame, window: int = 20, batches: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,5 +258,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, batches: int = 1, id_col:
         got, lo = log.match(part, last=hi is None), hi
         got = materialize(got, "flags", free=True)
         flags = got if flags is None else flags.unionByName(got)
+    log.close()
+    collect_garbage(spark)
     per_doc = flags.groupBy("doc_id").agg(F.collect_list("flags").alias("flags"))
     return docs.join(per_doc, "doc_id", "left").mapInPandas(_clean(window), "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
