@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import STEP, as_text, distinct, gram_hashes, materialize, mix64, signed, split_words, tune, word_hashes
+from .common import STEP, as_text, collect_garbage, distinct, drop, gram_hashes, materialize, mix64, signed, split_words, tune, word_hashes
 from .components import connected_components
 
 #: Shingles of a block at most, but for a block of one pair of documents that are longer.
@@ -266,7 +266,6 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     docs = as_text(docs, id_col, text_col)
     sketch = materialize(docs.mapInPandas(_sketch(k, percent), "doc_id long, n_shingles long, s1 long, s2 long, parts array<long>"), "sketch")
     real = sketch.where("doc_id is not null and n_shingles > 0")
-    classes = real.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("class_id"))
     by_part = Window.partitionBy("sig")
     met = (
         real.select("s1", "n_shingles", F.explode("parts").alias("sig"))
@@ -277,12 +276,17 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
         .distinct()
     )
     met = materialize(met, "met", free=True)
+    wide, sketch = sketch, materialize(sketch.drop("parts"), "classes", free=True)
+    drop(wide)
+    real = sketch.where("doc_id is not null and n_shingles > 0")
+    classes = real.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("class_id"))
     blocks = met.groupBy("center").agg(F.ceil(F.sum("n_shingles") / block_shingles).cast("int").alias("n_blocks"))
     met = met.join(blocks, "center").withColumn("block", F.when(F.col("s1") == F.col("center"), F.lit(0)).otherwise(F.pmod(F.xxhash64("s1"), "n_blocks")).cast("int"))
     wanted = classes.join(met.select("s1").distinct(), "s1").select("s1", F.col("class_id").alias("doc_id"))
     sets = materialize(docs.join(wanted, "doc_id").mapInPandas(_sets(k), "s1 long, doc_id long, shingles array<long>"), "sets", free=True)
     schema = "src long, dst long"
     links = materialize(met.join(sets, "s1").select("center", "block", "doc_id", "shingles").groupBy("center", "block").applyInPandas(_search_self(percent), schema), "links", free=True)
+    collect_garbage(spark)
     comps = connected_components(links)
 
     large = met.where("n_blocks > 1")
