@@ -41,6 +41,18 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     return distinct(gram_hashes(h, min(k, len(h))))
 
 
+def packed(u: np.ndarray) -> bytes:
+    """A sorted set in 48 bits a shingle: in a block, two sets of n and m shingles differ in their overlap from the 64 bits
+    with a probability of n * m / 2^48."""
+    return (u >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return wide.view("<u8").ravel().astype(np.int64)
+
+
 def set_hash(u: np.ndarray) -> int:
     """64 bits that depend on the set alone, as Spark's long."""
     return int(np.add.reduce(mix64(u)).astype(np.int64))
@@ -212,7 +224,7 @@ def block_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tu
 def _search_self(percent: int):
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("doc_id").sort_values("doc_id")
-        return pd.DataFrame(block_links(pdf.doc_id.tolist(), list(pdf.shingles), percent), columns=["src", "dst"], dtype="int64")
+        return pd.DataFrame(block_links(pdf.doc_id.tolist(), [unpacked(x) for x in pdf.shingles], percent), columns=["src", "dst"], dtype="int64")
 
     return search
 
@@ -220,8 +232,8 @@ def _search_self(percent: int):
 def _search_rest(percent: int):
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         index, queries = (x.drop_duplicates("doc_id") for x in (pdf[~pdf.is_query], pdf[pdf.is_query]))
-        found, ids = BlockIndex(list(index.shingles), percent), index.doc_id.tolist()
-        rows = [(q, ids[m]) for q, s in zip(queries.doc_id, queries.shingles, strict=True) for m in found.search(s, 1) if ids[m] != q]
+        found, ids = BlockIndex([unpacked(x) for x in index.shingles], percent), index.doc_id.tolist()
+        rows = [(q, ids[m]) for q, s in zip(queries.doc_id, queries.shingles, strict=True) for m in found.search(unpacked(s), 1) if ids[m] != q]
         return pd.DataFrame(rows, columns=["src", "dst"], dtype="int64")
 
     return search
@@ -247,7 +259,7 @@ def _sets(k: int):
             for s1, d, t in zip(pdf.s1, pdf.doc_id, pdf.text, strict=True):
                 u = shingles(t, k)
                 if set_hash(u) == s1:  # another text under a repeated id is another set
-                    rows.append((s1, d, np.sort(signed(u))))
+                    rows.append((s1, d, packed(u)))
             yield pd.DataFrame(rows, columns=["s1", "doc_id", "shingles"])
 
     return sets
@@ -283,7 +295,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     blocks = met.groupBy("center").agg(F.ceil(F.sum("n_shingles") / block_shingles).cast("int").alias("n_blocks"))
     met = met.join(blocks, "center").withColumn("block", F.when(F.col("s1") == F.col("center"), F.lit(0)).otherwise(F.pmod(F.xxhash64("s1"), "n_blocks")).cast("int"))
     wanted = classes.join(met.select("s1").distinct(), "s1").select("s1", F.col("class_id").alias("doc_id"))
-    sets = materialize(docs.join(wanted, "doc_id").mapInPandas(_sets(k), "s1 long, doc_id long, shingles array<long>"), "sets", free=True)
+    sets = materialize(docs.join(wanted, "doc_id").mapInPandas(_sets(k), "s1 long, doc_id long, shingles binary"), "sets", free=True)
     schema = "src long, dst long"
     links = materialize(met.join(sets, "s1").select("center", "block", "doc_id", "shingles").groupBy("center", "block").applyInPandas(_search_self(percent), schema), "links", free=True)
     collect_garbage(spark)
