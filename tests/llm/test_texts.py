@@ -107,6 +107,38 @@ def test_decontamination_finds_planted_items(spark):
     assert not any(r.contaminated for r in decontamination.flags(frame(spark, rows), bench.limit(0)).collect())
 
 
+@pytest.mark.parametrize("n_items", [40, 400, 1500])
+def test_decontamination_finds_all_copies(spark, n_items):
+    """Against brute force, however many items there are: long ones of rare words, and common words beside rarer ones."""
+    rng = random.Random(n_items)
+    common = lambda n: " ".join(f"c{rng.randrange(30)}" for _ in range(n))
+    items = [(k, common(rng.choice([9, 17, 20])) if k % 4 == 0 else prose(rng, rng.choice([3, 5, 9, 17, 33, 60]), 20 * n_items)) for k in range(n_items)]
+    rows = []
+    for i in range(24):  # copies, some with words changed or put in, between words of other items
+        t = edited(rng, items[i][1], i % 3 if len(items[i][1].split()) > 15 else 0)
+        rare = [" ".join(rng.choice(items[j][1].split()) for j in rng.sample([j for j in range(n_items) if j % 4], 25)) for _ in "ab"]
+        rows.append((i, "x " * i + rare[0] + " " + t.replace(" ", " and ", i % 5 // 3) + " " + rare[1]))
+    rows += [(i, common(60)) for i in range(24, 90)]
+    got = decontamination.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = set()
+    for i, t in rows:
+        w = t.split()
+        for k, text in items:
+            x = text.split()
+            span = 16
+            while span < len(x):
+                span *= 2
+            for s in range(-span // 2, len(w), span // 2):
+                window = w[max(0, s) : s + 2 * span]
+                least = max(decontamination.COPY * len(x), min(decontamination.LEAST_WORDS, len(x)))
+                if len(set(window) & set(x)) >= 0.3 * len(set(x)) and sum(y in set(window) for y in x) >= least:
+                    numbers = {y: j for j, y in enumerate({*x, *window})}
+                    if decontamination.common_subsequence(*(np.array([numbers[y] for y in z]) for z in (x, window))) >= least:
+                        want.add((i, k))
+    assert {(i, i) for i in range(24)} <= want
+    assert want <= {(r.doc_id, r.item_id) for r in got}
+
+
 def luhn(n):
     return sum((lambda d: d - 9 if d > 9 else d)(int(c) * (1 + i % 2)) for i, c in enumerate(reversed(n))) % 10 == 0
 
