@@ -10,6 +10,7 @@ split into blocks that each query visits in turn, and recall is audited against
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -151,22 +152,32 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"src": src, "dst": dst})
 
 
+def packed(ids: np.ndarray, copies: np.ndarray) -> bytes:
+    """Vectors and how many copies each has, in few bytes where ids are close."""
+    o = np.argsort(ids)
+    return zlib.compress(np.concatenate([np.diff(ids[o], prepend=0), copies[o]]).astype("<i8").tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    """(2, n): the ids and the copies."""
+    x = np.frombuffer(zlib.decompress(raw), "<i8").reshape(2, -1)
+    return np.stack([np.cumsum(x[0]), x[1]])
+
+
 def _search(least: float):
-    def run(key: tuple, nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    def run(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         """Queries of a block against its united graph; nodes that only a neighbour's list brought in are in it too.
 
-        Rows (a, b, n): with b null, that a has n links here; with n null, a link that the components need; with both, n
-        links of a with the copies of b.  A group of near copies thus gives a row per member and not per pair.  A pair that
-        shares several shards counts in the first of them; one whose b is no member of a's shards is given as a pair.
+        Rows (a, b, near): with b null, the packed vectors that a was linked with here, whichever of the two was the query;
+        else a link that the components need.  A group of near copies thus gives a row per member and not per pair.
         """
-        shard = int(key[0])
         index = nodes[nodes.role != 2].sort_values(["role", "vec_id"]).drop_duplicates("vec_id")
         ids = index.vec_id.to_numpy()
         out: list[tuple] = []
         queries = nodes[nodes.role.isin((0, 2))].drop_duplicates("vec_id")
         if len(ids) and len(queries):
             x = unit(stack(index.vector))
-            copies, member, shards = index.copies.to_numpy(), index.role.to_numpy() < 2, [frozenset(v) for v in index.shards]
+            copies, asked, asked_copies = index.copies.to_numpy(), queries.vec_id.to_numpy(), queries.copies.to_numpy()
             order = np.argsort(ids)
             find = lambda v: order[np.minimum(np.searchsorted(ids[order], v), len(ids) - 1)]
             src, dst = edges.src.to_numpy(np.int64), edges.dst.to_numpy(np.int64)
@@ -182,34 +193,56 @@ def _search(least: float):
                     root[v] = v = root.setdefault(p, p)
                 return v
 
-            patterns = {p: n for n, p in enumerate(dict.fromkeys(shards))}
-            pattern = np.array([patterns[p] for p in shards])
-            for v, q, own_shards in zip(queries.vec_id.tolist(), unit(stack(queries.vector)), map(frozenset, queries.shards), strict=True):
+            bits = np.zeros((len(asked), -(-len(ids) // 8)), np.uint8)  # which of the index each query is linked with
+            for k, (v, q) in enumerate(zip(asked.tolist(), unit(stack(queries.vector)), strict=True)):
                 own = int(find(v))
                 hits = range_search(x, graph, q, [medoid, own] if ids[own] == v else [medoid], least)
                 hits = hits[ids[hits] != v]
-                if not len(hits):
-                    continue
-                first = np.array([min(own_shards & p, default=-1) for p in patterns])[pattern[hits]]
-                if n := int(copies[hits[(first == shard) & member[hits]]].sum()):
-                    out.append((v, None, n))
-                out += [(v, int(ids[h]), int(copies[h])) for h in hits[first < 0].tolist()]
+                row = np.zeros(len(ids), bool)
+                row[hits] = True
+                bits[k] = np.packbits(row)
                 for w in ids[hits].tolist():
                     a, b = top(v), top(w)
                     if a != b:
                         root[max(a, b)] = min(a, b)
                         out.append((v, w, None))
-        return pd.DataFrame(out, columns=["a", "b", "n"]).astype("Int64")
+            place, back = {v: k for k, v in enumerate(asked.tolist())}, {}
+            for c in range(len(ids)):  # the other direction: the queries that found each
+                finders = np.flatnonzero(bits[:, c // 8] >> (7 - c % 8) & 1)
+                if not len(finders):
+                    continue
+                if (k := place.get(int(ids[c]))) is None:
+                    out.append((int(ids[c]), None, packed(asked[finders], asked_copies[finders])))
+                else:
+                    back[k] = finders
+            for k, v in enumerate(asked.tolist()):
+                hits, finders = np.flatnonzero(np.unpackbits(bits[k], count=len(ids))), back.get(k, np.empty(0, np.int64))
+                if len(hits) or len(finders):
+                    near, at = np.unique(np.r_[ids[hits], asked[finders]], return_index=True)
+                    out.append((v, None, packed(near, np.r_[copies[hits], asked_copies[finders]][at])))
+        return pd.DataFrame(out, columns=["a", "b", "near"]).astype({"a": "Int64", "b": "Int64"})
 
     return run
 
 
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(a, linked, n_near): the copies of all that a was linked with anywhere, each vector once, and how many vectors."""
+    for pdf in batches:
+        rows = []
+        for a, lists in zip(pdf.a, pdf.lists, strict=True):
+            x = np.concatenate([unpacked(raw) for raw in lists], axis=1)
+            near, at = np.unique(x[0], return_index=True)
+            rows.append((a, int(x[1][at].sum()), len(near)))
+        yield pd.DataFrame(rows, columns=["a", "linked", "n_near"])
+
+
 def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", overlap: int = OVERLAP) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per vector.
 
     Vectors link at a cosine of at least ``least`` in double precision.  Null, zero, empty or shorter vectors than most,
     and those with null or non-finite components, link with nothing and are their own component.  Equal vectors are one
-    class, so their links are counted and not expanded.  Rows with a null id or that repeat an id are returned, without
+    class, so their links are counted and not expanded.  A pair counts on both ends, and once, whichever shard or direction
+    found it.  Rows with a null id or that repeat an id are returned, without
     links of their own if the id is null; an empty table gives no rows.  Other columns are not read.
     """
     spark = vectors.sparkSession
@@ -239,17 +272,16 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     members = dealt.select(F.col("shard").alias("of_shard"), F.col("block").alias("of_block"), F.col("vec_id").alias("src"))
     lists = members.join(edges, "src").select("of_shard", "of_block", "src", "dst").distinct()
     halo = lists.select(F.col("of_shard").alias("shard"), F.col("of_block").alias("block"), F.col("dst").alias("vec_id")).distinct().join(reps, "vec_id")
-    cols = ["shard", "block", "vec_id", "vector", "copies", "shards"]
+    cols = ["shard", "block", "vec_id", "vector", "copies"]
     nodes = dealt.where("n_blocks = 1").select(*cols, F.lit(0).alias("role"))
     split = dealt.where("n_blocks > 1")
     nodes = nodes.unionByName(split.select(*cols, F.lit(1).alias("role")))
     nodes = nodes.unionByName(split.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(*cols, F.lit(2).alias("role")))
     nodes = nodes.unionByName(halo.select(*cols, F.lit(3).alias("role")))
-    found = nodes.groupBy("shard", "block").cogroup(lists.groupBy("of_shard", "of_block")).applyInPandas(_search(least), "a long, b long, n long")
+    found = nodes.groupBy("shard", "block").cogroup(lists.groupBy("of_shard", "of_block")).applyInPandas(_search(least), "a long, b long, near binary")
     found = materialize(found, "found", free=True)
 
-    pairs = found.where("b is not null and n is not null").distinct().select("a", "n")
-    n_links = found.where("b is null").select("a", "n").unionByName(pairs).groupBy("a").agg(F.sum("n").alias("linked"))
+    n_links = found.where("b is null").groupBy("a").agg(F.collect_list("near").alias("lists")).mapInPandas(_count, "a long, linked long, n_near long")
     comps = connected_components(found.where("b is not null"), "a", "b")
     per_class = classes.join(n_links, classes.rep == n_links.a, "left").join(comps, classes.rep == comps.node, "left")
     per_class = per_class.select("vector", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))

@@ -145,3 +145,29 @@ def test_large_shards_are_searched_in_blocks(spark, monkeypatch):
     got = embedding_graph.embedding_near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert sum(r.n_links for r in got) >= 0.9 * 200 * 199
     assert {r.component_id for r in got} == {0}
+
+
+def vectors_in_pairs(clusters=4, each=300, dims=48):
+    """Two near vectors each, in clusters that are so far apart that a graph of nearest neighbours has no way between them."""
+    rng = np.random.default_rng(4)
+    base = np.repeat(3 * rng.normal(size=(clusters, dims)), each // 2, axis=0) + rng.normal(size=(clusters * each // 2, dims))
+    return [(i, v.tolist()) for i, v in enumerate(np.repeat(base, 2, axis=0) + 0.1 * rng.normal(size=(clusters * each, dims)))]
+
+
+def linked_by_brute_force(rows, least):
+    x = embedding_graph.unit(np.array([v for _, v in rows]))
+    near = x @ x.T >= least
+    np.fill_diagonal(near, False)
+    return near.sum(1)
+
+
+def test_links_count_on_both_ends(spark, monkeypatch):
+    """A pair that only one direction of the search finds, in blocks that a query enters from the medoid."""
+    monkeypatch.setattr(embedding_graph, "BLOCK", 300)
+    monkeypatch.setattr(embedding_graph, "SHARD", 2_000)
+    rows = vectors_in_pairs()
+    assert set(linked_by_brute_force(rows, 0.98)) == {1}
+    got = embedding_graph.embedding_near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.98, target=0.0).collect()
+    size = Counter(r.component_id for r in got)
+    assert len(size) < len(rows)
+    assert all(r.n_links == size[r.component_id] - 1 for r in got)
