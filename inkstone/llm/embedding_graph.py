@@ -4,7 +4,8 @@ Vectors are dealt to the nearest few of k-means centres, so shards overlap.  In
 robust pruning; a vector's adjacency lists from its shards are united.  Each vector is then searched for in the graph of
 each of its shards: greedily from the medoid, and from itself, expanding the range to all that are close enough.  Every
 pair is verified by cosine in double precision.  Equal vectors are one class beforehand, shards that are too large are
-split into blocks that each query visits in turn, and recall is audited against a brute-force scan.
+split into blocks that each query visits in turn, and recall is audited against a brute-force scan; where no overlap reaches
+the target, all blocks of vectors are compared with each other.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ from .components import connected_components
 SHARD, BLOCK = 1_000, 2_000
 #: Shards that a vector is dealt to; neighbours of a vector; the pruning slack; the least queue of a search.
 OVERLAP, DEGREE, ALPHA, BEAM = 2, 24, 1.2, 16
-#: Vectors on which centres are fitted (a bounded sample by hash), and queries of the audit.
-FIT_SAMPLE, AUDIT = 20_000, 64
+#: Vectors on which centres are fitted (a bounded sample by hash), and queries of the audit; linked ones that it needs, else
+#: it takes eight times as many.
+FIT_SAMPLE, AUDIT, AUDIT_LINKED = 20_000, 512, 32
 #: The search goes on through vectors a little beyond the threshold, so that it reaches all within.
 SLACK = 0.05
 
@@ -164,12 +166,12 @@ def unpacked(raw: bytes) -> np.ndarray:
     return np.stack([np.cumsum(x[0]), x[1]])
 
 
-def _search(least: float):
+def _search(least: float, exact: bool = False):
     def run(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         """Queries of a block against its united graph; nodes that only a neighbour's list brought in are in it too.
 
         Rows (a, b, near): with b null, the packed vectors that a was linked with here, whichever of the two was the query;
-        else a link that the components need.  A group of near copies thus gives a row per member and not per pair.
+        else a link that the components need.  exact: no graph, each query is compared with the whole index.  A group of near copies thus gives a row per member and not per pair.
         """
         index = nodes[nodes.role != 2].sort_values(["role", "vec_id"]).drop_duplicates("vec_id")
         ids = index.vec_id.to_numpy()
@@ -196,7 +198,7 @@ def _search(least: float):
             bits = np.zeros((len(asked), -(-len(ids) // 8)), np.uint8)  # which of the index each query is linked with
             for k, (v, q) in enumerate(zip(asked.tolist(), unit(stack(queries.vector)), strict=True)):
                 own = int(find(v))
-                hits = range_search(x, graph, q, [medoid, own] if ids[own] == v else [medoid], least)
+                hits = np.flatnonzero(x @ q >= least) if exact else range_search(x, graph, q, [medoid, own] if ids[own] == v else [medoid], least)
                 hits = hits[ids[hits] != v]
                 row = np.zeros(len(ids), bool)
                 row[hits] = True
@@ -236,28 +238,23 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["a", "linked", "n_near"])
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", overlap: int = OVERLAP) -> DataFrame:
-    """(vec_id, n_links, component_id, kept), one row per vector.
+#: What _search() returns.
+FOUND = "a long, b long, near binary"
 
-    Vectors link at a cosine of at least ``least`` in double precision.  Null, zero, empty or shorter vectors than most,
-    and those with null or non-finite components, link with nothing and are their own component.  Equal vectors are one
-    class, so their links are counted and not expanded.  A pair counts on both ends, and once, whichever shard or direction
-    found it.  Rows with a null id or that repeat an id are returned, without
-    links of their own if the id is null; an empty table gives no rows.  Other columns are not read.
-    """
-    spark = vectors.sparkSession
-    tune(spark)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    good = F.expr("vec_id is not null and vector is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(vector, x -> x <> 0)")
-    usable = rows.where(good)
-    dims = [r.n for r in usable.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").select("n").limit(1).collect()]
-    if not dims:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    usable = usable.where(F.size("vector") == dims[0])
-    # classes of equal vectors; the hash deals, the vector itself decides
-    classes = materialize(usable.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    reps = classes.select(F.col("rep").alias("vec_id"), "vector", "copies")
-    n = classes.count()
+
+def _every_block(reps: DataFrame, n: int, least: float) -> DataFrame:
+    """_search() of each block of vectors in each other and in itself, without graphs."""
+    last = max(1, math.ceil(n / BLOCK)) - 1
+    own = reps.withColumn("own", F.pmod(F.xxhash64("vec_id"), F.lit(last + 1)).cast("int"))
+    index = own.select(F.explode(F.sequence(F.lit(0), "own")).alias("shard"), F.col("own").alias("block"), "vec_id", "vector", "copies", F.lit(1).alias("role"))
+    queries = own.select(F.col("own").alias("shard"), F.explode(F.sequence(F.col("own"), F.lit(last))).alias("block"), "vec_id", "vector", "copies", F.lit(2).alias("role"))
+    none = reps.sparkSession.createDataFrame([], "of_shard int, of_block int, src long, dst long")
+    return index.unionByName(queries).groupBy("shard", "block").cogroup(none.groupBy("of_shard", "of_block")).applyInPandas(_search(least, exact=True), FOUND)
+
+
+def _sharded(reps: DataFrame, n: int, least: float, overlap: int) -> DataFrame:
+    """_search() in the graphs of overlapping shards."""
+    spark = reps.sparkSession
     k = max(1, math.ceil(n / SHARD))
     sample = hash_sample(reps.select("vec_id", "vector"), min(FIT_SAMPLE, max(2_000, 20 * k)), "vec_id").toPandas()  # a documented bound
     centres = kmeans(unit(stack(sample.vector)), min(k, len(sample)))
@@ -278,51 +275,78 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     nodes = nodes.unionByName(split.select(*cols, F.lit(1).alias("role")))
     nodes = nodes.unionByName(split.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(*cols, F.lit(2).alias("role")))
     nodes = nodes.unionByName(halo.select(*cols, F.lit(3).alias("role")))
-    found = nodes.groupBy("shard", "block").cogroup(lists.groupBy("of_shard", "of_block")).applyInPandas(_search(least), "a long, b long, near binary")
+    return nodes.groupBy("shard", "block").cogroup(lists.groupBy("of_shard", "of_block")).applyInPandas(_search(least), FOUND)
+
+
+def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", overlap: int | None = OVERLAP) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(one row per vector: vec_id, n_links, component_id, kept; the classes; a, linked, n_near of those that have links).
+
+    With an overlap of None all blocks are compared with each other, so no link is lost; that takes the square of the rows.
+
+    Vectors link at a cosine of at least ``least`` in double precision.  Null, zero, empty or shorter vectors than most,
+    and those with null or non-finite components, link with nothing and are their own component.  Equal vectors are one
+    class, so their links are counted and not expanded.  A pair counts on both ends, and once, whichever shard or direction
+    found it.  Rows with a null id or that repeat an id are returned, without
+    links of their own if the id is null; an empty table gives no rows.  Other columns are not read.
+    """
+    spark = vectors.sparkSession
+    tune(spark)
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    good = F.expr("vec_id is not null and vector is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(vector, x -> x <> 0)")
+    usable = rows.where(good)
+    dims = [r.n for r in usable.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").select("n").limit(1).collect()]
+    if not dims:
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")), None, None
+    usable = usable.where(F.size("vector") == dims[0])
+    # classes of equal vectors; the hash deals, the vector itself decides
+    classes = materialize(usable.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    reps = classes.select(F.col("rep").alias("vec_id"), "vector", "copies")
+    found = _every_block(reps, classes.count(), least) if overlap is None else _sharded(reps, classes.count(), least, overlap)
     found = materialize(found, "found", free=True)
 
     n_links = found.where("b is null").groupBy("a").agg(F.collect_list("near").alias("lists")).mapInPandas(_count, "a long, linked long, n_near long")
+    n_links = materialize(n_links, "links")
     comps = connected_components(found.where("b is not null"), "a", "b")
     per_class = classes.join(n_links, classes.rep == n_links.a, "left").join(comps, classes.rep == comps.node, "left")
     per_class = per_class.select("vector", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     named = rows.withColumn("v", F.when(good, F.col("vector"))).drop("vector").join(per_class.withColumnRenamed("vector", "v"), "v", "left")
     out = named.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return materialize(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), "vectors")
+    return materialize(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), "vectors"), classes, n_links
 
 
-def audit_recall(vectors: DataFrame, result: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", queries: int = AUDIT) -> float:
-    """The share of true links, of a fixed number of queries against all rows, that ``result`` has counted.
+def audit_recall(classes: DataFrame, linked: DataFrame, least: float = 0.95, queries: int = AUDIT) -> float:
+    """The mean share of a vector's near vectors that ``linked`` has (a, n_near), over those of the queries that have some.
 
-    Queries are chosen by hash, half of them among the vectors that have links; all rows are scanned in blocks.
+    Vectors are distinct: copies count neither for a query nor as what it is near to.  Queries are chosen by a hash of their
+    ids, whatever the result; all vectors are scanned in blocks.  Of too few linked queries, eight times as many are taken.
     """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector")).where("vec_id is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(vector, x -> x <> 0)")
-    counted = result.where("vec_id is not null").select("vec_id", "n_links")
-    linked = hash_sample(counted.where("n_links > 0"), queries // 2, "vec_id")
-    other = hash_sample(counted, queries - queries // 2, "vec_id")
-    chosen = linked.unionByName(other).select("vec_id", "n_links").distinct()
-    q = rows.join(F.broadcast(chosen), "vec_id").dropDuplicates(["vec_id"]).toPandas()  # no more than ``queries``
+    spark = classes.sparkSession
+    q = hash_sample(classes.select("rep", "vector"), queries, "rep").toPandas().drop_duplicates("rep")  # no more than ``queries``
     if not len(q):
         return 1.0
-    held = spark.sparkContext.broadcast((q.vec_id.to_numpy(), unit(stack(q.vector))))
+    held = spark.sparkContext.broadcast((q.rep.to_numpy(), unit(stack(q.vector))))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, x = held.value
         n = np.zeros(len(ids), np.int64)
         for pdf in batches:
             if len(pdf):
-                n += (unit(stack(pdf.vector)) @ x.T >= least).sum(0)
-        yield pd.DataFrame({"vec_id": ids, "n": n})
+                # a vector is not near itself, whatever the rounding
+                n += ((unit(stack(pdf.vector)) @ x.T >= least) & (pdf.rep.to_numpy()[:, None] != ids)).sum(0)
+        yield pd.DataFrame({"a": ids, "n": n})
 
-    true = rows.where(F.size("vector") == len(q.vector.iloc[0])).mapInPandas(scan, "vec_id long, n long").groupBy("vec_id").agg((F.sum("n") - 1).alias("n"))
-    got = true.toPandas().merge(q[["vec_id", "n_links"]], on="vec_id")
-    return 1.0 if not got.n.sum() else float(np.minimum(got.n_links, got.n).sum() / got.n.sum())
+    true = classes.select("rep", "vector").mapInPandas(scan, "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).toPandas()
+    found = linked.join(F.broadcast(spark.createDataFrame(q[["rep"]], "rep long")), F.col("a") == F.col("rep")).select("a", "n_near").toPandas()
+    got = true[true.n > 0].merge(found, on="a", how="left").fillna({"n_near": 0})
+    if len(got) < AUDIT_LINKED and queries == AUDIT:
+        return audit_recall(classes, linked, least, 8 * queries)
+    return 1.0 if not len(got) else float((np.minimum(got.n_near, got.n) / got.n).mean())
 
 
 def embedding_near_dedup(vectors: DataFrame, least: float = 0.95, target: float = 0.9, **names) -> DataFrame:
-    """near_vectors(), built again with more overlap while the audited recall is below the target."""
-    for overlap in (OVERLAP, 2 * OVERLAP, 4 * OVERLAP):
-        out = near_vectors(vectors, least, overlap=overlap, **names)
-        if (recall := audit_recall(vectors, out, least, **names)) >= target:
+    """near_vectors(), built again with more overlap, and at last without graphs, while the audited recall is below the target."""
+    for overlap in (OVERLAP, 2 * OVERLAP, 4 * OVERLAP, None):
+        out, classes, linked = near_vectors(vectors, least, overlap=overlap, **names)
+        if (recall := 1.0 if classes is None else audit_recall(classes, linked, least)) >= target:
             break
     return out.withColumn("audited_recall", F.lit(float(recall)))

@@ -171,3 +171,15 @@ def test_links_count_on_both_ends(spark, monkeypatch):
     size = Counter(r.component_id for r in got)
     assert len(size) < len(rows)
     assert all(r.n_links == size[r.component_id] - 1 for r in got)
+
+
+def test_audit_sees_losses_beside_copies(spark, monkeypatch):
+    """Links of copies, which are never lost, don't hide those that no overlap of shards finds."""
+    monkeypatch.setattr(embedding_graph, "BLOCK", 300)
+    monkeypatch.setattr(embedding_graph, "SHARD", 2_000)
+    rows = vectors_in_pairs(3, 400)
+    copies = [(i, [1.0] * 48) for i in range(5000, 5600)]
+    got = embedding_graph.embedding_near_dedup(spark.createDataFrame(rows + copies, "vec_id long, embedding array<double>"), 0.98).collect()
+    n_links = {r.vec_id: r.n_links for r in got}
+    assert [n_links[i] for i, _ in copies] == [599] * 600
+    assert sum(n_links[i] for i, _ in rows) >= 0.9 * linked_by_brute_force(rows, 0.98).sum()
