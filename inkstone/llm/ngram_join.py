@@ -318,6 +318,9 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Documents whose id is their component's smallest, with all their columns; rows with a null id stay."""
+    """Documents whose id is their component's smallest, with all their columns; rows with a null id stay.
+
+    Rows that repeat an id stay or go together: all go if one of their texts has a component with a smaller id.
+    """
     found = ngram_jaccard_join(docs, k, percent).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti")

@@ -49,6 +49,12 @@ def test_keep_one_of_each(spark):
     assert "anchor" in kept.columns
 
 
+def test_rows_that_repeat_an_id_stay_or_go_together(spark):
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (2, "h i j k l m n"), (3, "q r s"), (3, "t u v")]
+    kept = ngram_join.keep_one_of_each(frame(spark, rows)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept)) == sorted([rows[0], rows[1], rows[4], rows[5]])
+
+
 def test_t_occurrence_search():
     rng = np.random.default_rng(5)
     for n, universe in ((3, 20), (40, 60), (300, 80)):

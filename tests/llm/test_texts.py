@@ -337,5 +337,18 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(ids["tokens"])
 
 
+def test_leaks_go_by_row(spark, tmp_path):
+    """A leak with a null id goes, and a clean row beside it, or with the id of a leak, stays."""
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    item, clean = prose(rng, 40, 3000), [prose(rng, 80, 3000) for _ in range(3)]
+    leak = clean[0] + " " + item
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, leak), (None, clean[1]), (1, leak), (1, clean[2]), (2, leak), (2, leak), (3, clean[2]), (4, None)]
+    got = corpus_pipeline.leaks(spark, frame(spark, rows), str(tmp_path)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, clean[1]), (1, clean[2]), (3, clean[2]), (4, None)], key=str)
+
+
 def test_corpus_has_what_it_says():
     assert {None, "", " \n\t "} <= {t for _, t in corpus()}
