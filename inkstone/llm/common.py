@@ -9,15 +9,19 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch: texts may be long, so batches are kept small.
-ARROW_ROWS = 2000
+#: Rows and bytes of an Arrow batch: texts may be long, so a batch is bounded by both.
+ARROW_ROWS, ARROW_BYTES = 2000, "8m"
+#: A key with more than one in so many rows of a table is hot; so there are no more hot keys than this.
+HOT_KEYS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def tune(spark: SparkSession) -> None:
     """Small Arrow batches, so that a batch of long texts stays within a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -73,6 +78,70 @@ def drop(df: DataFrame) -> None:
     remove(df.sparkSession, df.scratch_path)
 
 
+def join_with_hot_keys(rows: DataFrame, unique: DataFrame, key: list[str], uses: str, total: int) -> DataFrame:
+    """``rows`` left-joined with ``unique``, which has one row per key and in ``uses`` how many rows have that key.
+
+    Keys with more than one in HOT_KEYS of the ``total`` rows are fewer than HOT_KEYS, so they are broadcast; no other key
+    can fill a task.  Both tables are read twice, so they should be written ones.
+    """
+    hot = F.col(uses) * HOT_KEYS > total
+    some = unique.where(hot).withColumn("_hot", F.lit(True))
+    marked = rows.join(F.broadcast(some), key, "left")
+    rest = marked.where("_hot is null").select(*rows.columns).join(unique.where(~hot), key, "left")
+    return marked.where("_hot").drop("_hot").unionByName(rest)
+
+
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """Dealt by key to all shuffle partitions, however few bytes there are: for steps whose work is not in proportion to
+    them."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+
+
+def group_columns(batches: Iterable[pa.RecordBatch], key: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of each group of batches that are sorted by a key of numbers."""
+    held: list[dict[str, np.ndarray]] = []
+    joined = lambda: {c: np.concatenate([h[c] for h in held]) for c in held[0]} if len(held) > 1 else held[0]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+        change = np.zeros(batch.num_rows, bool)
+        for c in key:
+            change[1:] |= cols[c][1:] != cols[c][:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        if held and any(held[-1][c][-1] != cols[c][0] for c in key):
+            yield joined()
+            held = []
+        for a, b in pairwise(cuts):
+            held.append({c: v[a:b] for c, v in cols.items()})
+            if b < batch.num_rows:
+                yield joined()
+                held = []
+    if held:
+        yield joined()
+
+
+def grouped(df: DataFrame, key: list[str], run: Callable[[dict[str, np.ndarray]], list[np.ndarray]], schema: str) -> DataFrame:
+    """``run`` on the columns of each group of equal keys; it gives a row's columns, in order of the schema, as arrays.
+
+    As a stream over sorted partitions, so very many small groups cost little more than their rows.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list[np.ndarray]] = []
+        for group in group_columns(batches, key):
+            if len((rows := run(group))[0]):
+                out.append(rows)
+            if len(out) >= 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
+
+    return spread(df, *key).sortWithinPartitions(*key).mapInArrow(every, schema)
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """xxh3 of each word's bytes."""
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))

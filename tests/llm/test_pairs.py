@@ -32,10 +32,12 @@ def test_ngram_join_is_brute_force(spark, k, percent, block):
     rows = corpus()
     base = prose(rng, 120)
     rows += [(1000 + i, edited(rng, base, i % 5)) for i in range(40)]  # a large group, split into blocks
-    got = ngram_join.ngram_jaccard_join(frame(spark, [*rows, (None, "a b c d")]), k, percent, block_shingles=block).collect()
-    assert len(got) == len(rows) + 1
-    want = brute_components(rows, k, percent)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == want
+    extra = [(None, "a b c d"), (2000, "two texts under an id"), (2000, "have a row each"), (2001, base), (2001, base)]
+    got = ngram_join.ngram_jaccard_join(frame(spark, [*rows, *extra]), k, percent, block_shingles=block).collect()
+    assert len(got) == len(rows) + len(extra)
+    want = brute_components([*rows, extra[-1]], k, percent)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id not in (None, 2000)} == want
+    assert len({(r.n_shingles, r.component_id) for r in got if r.doc_id == 2000}) == 2 - (k > 4)
     assert [r.component_id for r in got if r.doc_id is None] == [None]
 
 
@@ -49,10 +51,27 @@ def test_keep_one_of_each(spark):
     assert "anchor" in kept.columns
 
 
-def test_rows_that_repeat_an_id_stay_or_go_together(spark):
-    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (2, "h i j k l m n"), (3, "q r s"), (3, "t u v")]
+def test_rows_of_copies_go_one_by_one(spark):
+    """A text under the id of a row that goes stays, and of rows equal in id and text one does."""
+    t, u = "a b c d e f g", "h i j k l m n"
+    rows = [(1, t), (1, t), (2, t), (2, u), (3, "q r s"), (3, "t u v"), (4, None), (4, None), (5, "x"), (5, "x"), (None, t)]
     kept = ngram_join.keep_one_of_each(frame(spark, rows)).select("doc_id", "text").collect()
-    assert sorted(map(tuple, kept)) == sorted([rows[0], rows[1], rows[4], rows[5]])
+    want = [(1, t), (2, u), (3, "q r s"), (3, "t u v"), (4, None), (4, None), (5, "x"), (None, t)]
+    assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
+    assert ngram_join.keep_one_of_each(frame(spark, rows).limit(0)).collect() == []
+
+
+def test_counts_rule_out_no_pair():
+    rng = np.random.default_rng(6)
+    for percent in (50, 80, 90):
+        sets = []
+        for n in (1, 2, 5, 30, 31, 63, 64, 100, 127, 128, 500):
+            x = rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2)
+            for _ in range(4):
+                sets.append(np.unique(np.where(rng.random(n) < 0.08, rng.integers(0, 2**63, n).astype(np.uint64), x)))
+        got = ngram_join.promising(np.array([len(s) for s in sets]), [ngram_join.bucket_counts(s) if i % 9 else b"" for i, s in enumerate(sets)], percent)
+        near = [any(a is not b and 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)) for b in sets) for a in sets]
+        assert all(got[i] for i, x in enumerate(near) if x)
 
 
 def test_t_occurrence_search():
