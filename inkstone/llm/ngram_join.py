@@ -36,6 +36,8 @@ HEAP_ENTRIES, PROBES = 4096, 64
 CLASS_RATIO = 2.0
 #: Members of a divided block that are in each of its parts, so that the parts of a group of near copies hang together.
 PIVOTS = 4
+#: Sets of an Arrow batch that share a signature: from so many on, one of them speaks for all.
+CROWD = 16
 BLOCK_SCHEMA = "center long, block int, node long, label long, asks_only boolean"
 
 
@@ -341,9 +343,22 @@ def stars(sig: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return starts, np.repeat(s[starts], sizes), np.repeat(s[starts] != s[starts + sizes - 1] if len(starts) else [], sizes).astype(bool)
 
 
-def _signatures(k: int, percent: int):
-    """(sig, s1, near) of each batch: a row per signature with its smallest set, and where near is true a row (center, set)
-    for sets of the batch that share one.  So a signature that very many documents have is one row a batch."""
+def smallest_connected(members: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
+    """For each of n numbers the smallest that it is connected with by groups of ``sizes``, one after another in ``members``."""
+    label, starts = np.arange(n), np.cumsum(sizes) - sizes
+    while True:
+        new = label.copy()
+        np.minimum.at(new, members, np.repeat(np.minimum.reduceat(label[members], starts), sizes))
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _signatures(k: int, percent: int, crowd_of: int):
+    """(sig, s1, near) of each batch: a row per signature and set.  Sets of which ``crowd_of`` share a signature are connected, and
+    of each such group its smallest set speaks for all in that signature, with rows (smallest, set, near) beside it.  So a
+    signature that very many documents have is a row or a few in each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -358,9 +373,17 @@ def _signatures(k: int, percent: int):
             sig, s = np.concatenate(sigs), np.repeat(np.fromiter(sets, np.int64, len(sets)), [len(x) for x in sigs])
             order = np.lexsort((s, sig))
             sig, s = sig[order], s[order]
-            starts, center, shared = stars(sig, s)
-            near = np.unique(np.stack([center[shared], s[shared]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[sig[starts], near[:, 0]]), pa.array(np.r_[s[starts], near[:, 1]]), pa.array(np.r_[np.zeros(len(starts), bool), np.ones(len(near), bool)])], ["sig", "s1", "near"])
+            starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+            sizes = np.diff(np.r_[starts, len(sig)])
+            crowd = np.repeat(sizes >= crowd_of, sizes)
+            near = np.empty((0, 2), np.int64)
+            if crowd.any():
+                all_, at = np.unique(s[crowd], return_inverse=True)
+                first = smallest_connected(at, sizes[sizes >= crowd_of], len(all_))
+                near = np.stack([all_[first], all_], 1)
+                spoken = np.unique(np.stack([sig[crowd], all_[first][at]], 1), axis=0)
+                sig, s = np.r_[sig[~crowd], spoken[:, 0]], np.r_[s[~crowd], spoken[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[sig, near[:, 0]]), pa.array(np.r_[s, near[:, 1]]), pa.array(np.r_[np.zeros(len(sig), bool), np.ones(len(near), bool)])], ["sig", "s1", "near"])
 
     return run
 
@@ -445,12 +468,12 @@ def _joined(docs: DataFrame, k: int, percent: int, block_shingles: int) -> tuple
     classes = real.groupBy(*key).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.min("counts").alias("counts"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # numbered once, when written
 
-    sigs = docs.where("doc_id is not null and text is not null").select("text").mapInArrow(_signatures(k, percent), "sig long, s1 long, near boolean")
+    sigs = docs.where("doc_id is not null and text is not null").select("text").mapInArrow(_signatures(k, percent, CROWD), "sig long, s1 long, near boolean")
     seen = sigs.repartition("sig").sortWithinPartitions("near", "sig", "s1").mapInArrow(_meet, "center long, s1 long, near boolean")
     seen = materialize(seen, "seen", free=True)
     local, over = (seen.where(F.col("near") == x).select("center", "s1").distinct() for x in (True, False))
-    # sets of a batch also meet where the one that spoke for them does
-    through = local.join(over.select(F.col("center").alias("c"), F.col("s1").alias("center")), "center").select(F.col("c").alias("center"), "s1")
+    # sets that another spoke for also meet where that one does
+    through = local.join(over.where("center <> s1").select(F.col("center").alias("c"), F.col("s1").alias("center")), "center").select(F.col("c").alias("center"), "s1")
     met = local.unionByName(over).unionByName(through).distinct().join(classes.select("s1", "node", "n_shingles", "counts"), "s1")
     met = materialize(met.withColumn("label", F.col("node")), "met", free=True)
     drop(seen)
