@@ -23,6 +23,8 @@ from .common import materialize, shared_dir, tune
 REVISIT_BYTES = 100
 #: Bytes of a record's block, of a chunk of the HTTP body, and records of a file at most.
 SEGMENT_BYTES, CHUNK_BYTES, FILE_RECORDS = 32_768, 8_192, 4_000
+#: Bytes that are decompressed at once.
+SLICE = 4_096
 VERSION = b"WARC/1.1\r\n"
 PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = b"1970-01-01T00:00:00Z"
@@ -36,14 +38,17 @@ def gzip_member(data: bytes) -> bytes:
 
 def gzip_members(data: bytes) -> Iterator[bytes]:
     """The contents of each member that isn't empty."""
-    while data:
-        z = zlib.decompressobj(31)
-        got = z.decompress(data) + z.flush()
-        if not z.eof:
-            raise ValueError("a gzip member is cut off")
-        if got:
+    data, at = memoryview(data), 0
+    while at < len(data):
+        z, out = zlib.decompressobj(31), []
+        while not z.eof:  # in slices: what follows a member is copied out of a slice only
+            if at >= len(data):
+                raise ValueError("a gzip member is cut off")
+            piece = data[at : at + SLICE]
+            out.append(z.decompress(piece))
+            at += len(piece) - len(z.unused_data)
+        if got := b"".join(out):
             yield got
-        data = z.unused_data
 
 
 def chunked(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
@@ -148,7 +153,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for content in pdf.content:
             rows = []
-            for data in gzip_members(bytes(content)):
+            for data in gzip_members(content):
                 f, block = parse(data)
                 kind, page = f[b"warc-type"].decode(), int(f[b"warc-page-id"]) if f.get(b"warc-page-id") else None
                 digest = f.get(b"warc-payload-digest", b"").removeprefix(b"sha256:").decode()
