@@ -76,6 +76,24 @@ def scan_history(versions: DataFrame, ledger: DataFrame | None = None, rules=Non
     return rows.select("doc_id", "blob").join(found, "blob", "left"), new
 
 
+def scan_in_batches(versions: DataFrame, batches: int, id_col: str = "doc_id", **names) -> tuple[DataFrame, DataFrame]:
+    """scan_history() of one range of ids after another, each against the ledger of those before; and the whole ledger.
+
+    Rows with a null id are in the last batch.
+    """
+    cuts = versions.select(F.col(id_col).cast("long").alias("i")).approxQuantile("i", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
+    low, found, ledger = None, None, None
+    at = F.col(id_col).cast("long")
+    for high in [*sorted({int(c) for c in cuts}), None]:
+        part = versions if low is None else versions.where((at > low) | at.isNull())
+        part = part if high is None else part.where(at <= high)
+        got, new = scan_history(part, ledger, id_col=id_col, **names)
+        found = got if found is None else found.unionByName(got)
+        ledger = new if ledger is None else ledger.unionByName(new)
+        low = high
+    return found, ledger
+
+
 def count_of(findings: Column, kind: str) -> Column:
     return F.coalesce(F.size(F.filter(findings, lambda f: f["rule"].startswith(f"{kind}@"))), F.lit(0)).cast("long")
 
