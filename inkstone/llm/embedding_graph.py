@@ -34,7 +34,9 @@ SLACK = 0.05
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of norm 1; scaled by their largest component first, so squares neither overflow nor vanish."""
     x = np.asarray(x, np.float64)
+    x = x / np.abs(x).max(axis=-1, keepdims=True)
     return x / np.linalg.norm(x, axis=-1, keepdims=True)
 
 
@@ -283,25 +285,29 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
 
     With an overlap of None all blocks are compared with each other, so no link is lost; that takes the square of the rows.
 
-    Vectors link at a cosine of at least ``least`` in double precision.  Null, zero, empty or shorter vectors than most,
-    and those with null or non-finite components, link with nothing and are their own component.  Equal vectors are one
+    Vectors link at a cosine of at least ``least`` in double precision.  Null, zero and empty vectors, and those with null
+    or non-finite components, link with nothing and are their own component; vectors of different lengths don't link, and
+    each length has an index of its own (few lengths are expected).  Equal vectors are one
     class, so their links are counted and not expanded.  A pair counts on both ends, and once, whichever shard or direction
-    found it.  Rows with a null id or that repeat an id are returned, without
-    links of their own if the id is null; an empty table gives no rows.  Other columns are not read.
+    found it.  Rows with a null id are returned without links; rows
+    that repeat an id are one vector, which isn't linked with itself, but copies under one id count; an empty table gives no rows.  Other columns are not read.
     """
     spark = vectors.sparkSession
     tune(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     good = F.expr("vec_id is not null and vector is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(vector, x -> x <> 0)")
     usable = rows.where(good)
-    dims = [r.n for r in usable.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").select("n").limit(1).collect()]
-    if not dims:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")), None, None
-    usable = usable.where(F.size("vector") == dims[0])
     # classes of equal vectors; the hash deals, the vector itself decides
-    classes = materialize(usable.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    reps = classes.select(F.col("rep").alias("vec_id"), "vector", "copies")
-    found = _every_block(reps, classes.count(), least) if overlap is None else _sharded(reps, classes.count(), least, overlap)
+    classes = usable.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    classes = materialize(classes.withColumn("size", F.size("vector")), "classes")
+    sizes = sizes_of(classes)
+    if not sizes:
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")), None, None
+    found = None
+    for size, n in sizes.items():
+        reps = classes.where(F.col("size") == size).select(F.col("rep").alias("vec_id"), "vector", "copies")
+        some = _every_block(reps, n, least) if overlap is None else _sharded(reps, n, least, overlap)
+        found = some if found is None else found.unionByName(some)
     found = materialize(found, "found", free=True)
 
     n_links = found.where("b is null").groupBy("a").agg(F.collect_list("near").alias("lists")).mapInPandas(_count, "a long, linked long, n_near long")
@@ -314,6 +320,11 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     return materialize(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), "vectors"), classes, n_links
 
 
+def sizes_of(classes: DataFrame) -> dict[int, int]:
+    """How many classes there are of each length of vectors, a row per length."""
+    return {r["size"]: r["count"] for r in classes.groupBy("size").count().orderBy("size").collect()}
+
+
 def audit_recall(classes: DataFrame, linked: DataFrame, least: float = 0.95, queries: int = AUDIT) -> float:
     """The mean share of a vector's near vectors that ``linked`` has (a, n_near), over those of the queries that have some.
 
@@ -347,6 +358,7 @@ def embedding_near_dedup(vectors: DataFrame, least: float = 0.95, target: float
     """near_vectors(), built again with more overlap, and at last without graphs, while the audited recall is below the target."""
     for overlap in (OVERLAP, 2 * OVERLAP, 4 * OVERLAP, None):
         out, classes, linked = near_vectors(vectors, least, overlap=overlap, **names)
-        if (recall := 1.0 if classes is None else audit_recall(classes, linked, least)) >= target:
+        recall = 1.0 if classes is None else min(audit_recall(classes.where(F.col("size") == size), linked, least) for size in sizes_of(classes))
+        if recall >= target:
             break
     return out.withColumn("audited_recall", F.lit(float(recall)))
