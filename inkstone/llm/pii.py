@@ -1,13 +1,17 @@
-"""PII by rules and by a character-level BiLSTM-CRF that is trained here on the rules' labelled spans.
+"""PII by rules and by a character-level BiLSTM-CRF that is trained here on labelled spans.
 
-Whole texts are tagged: every stretch around a digit, a plus or an at sign (no kind has a span without one) is cut into
+The labels are the rules' spans of whole texts, and the same spans rewritten as people write them to get past rules: with
+spaces or words for signs, numbers with brackets or other separators.  Those are what the model is for.  Of every text
+each stretch around a digit, a plus, an at sign or its name in brackets (no kind has a span without one) is cut into
 overlapping windows; the windows' emissions are averaged where they overlap, and each stretch is decoded once as a whole.
 Rule spans always stay; the model adds spans that overlap none and that are plausible for their kind.
 """
 
 from __future__ import annotations
 
+import random
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +25,10 @@ from .common import hash_sample, tune
 KINDS = ["email", "ip", "card", "phone"]
 WINDOW, STRIDE, CONTEXT = 64, 32, 24
 #: Windows on which the model is trained, chosen by hash among all windows with a span, and at most so many of a text.
-TRAIN_WINDOWS, WINDOWS_OF_TEXT = 400, 4
+TRAIN_WINDOWS, WINDOWS_OF_TEXT = 800, 4
 
 #: Steps of the training at least.
-STEPS = 240
+STEPS = 400
 
 # The patterns and limits of the four kinds.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -32,7 +36,10 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")  # within a run of digits no later start can match
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TRIGGER = re.compile(r"[0-9@+]")
+TRIGGER = re.compile(r"[0-9@+]|[(\[][Aa][Tt][)\]]")
+BASE_TRIGGER = re.compile(r"[0-9@+]")
+AT, DOT = re.compile(r"\x20?(?:@|[(\[][Aa][Tt][)\]])\x20?"), re.compile(r"\x20?(?:\.|[(\[](?:\.|[Dd][Oo][Tt])[)\]])\x20?")
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
 
 def digits(s: str) -> str:
@@ -77,7 +84,7 @@ def emails(text: str) -> list[tuple[int, int]]:
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by start and then kind as listed."""
-    if not TRIGGER.search(text):
+    if not BASE_TRIGGER.search(text):
         return []
     out = [("email", *s) for s in emails(text)]
     for kind, rx, ok in (("ip", IP, is_ip), ("card", CARD, is_card), ("phone", PHONE, is_phone)):
@@ -86,14 +93,28 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def plausible(kind: str, s: str) -> bool:
-    """Whether a span of the model's can be of its kind at all."""
+    """Whether a span of the model's can be of its kind at all: what is left once its signs are written out."""
     if kind == "email":
-        return bool(re.fullmatch(r"[^\s@]+@[^\s@]+\.[^\s@.]+", s)) and s[-1].isalnum()
+        return bool(EMAIL.fullmatch(DOT.sub(".", AT.sub("@", s))))
     if kind == "ip":
-        return bool(re.fullmatch(r"[0-9]{1,3}([.:][0-9]{1,3}){3}", s)) and is_ip(s.replace(":", "."))
+        return bool(re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", plain := DOT.sub(".", s))) and is_ip(plain)
     if kind == "card":
-        return is_card(s) and bool(re.fullmatch(r"[0-9][0-9 ./-]+[0-9]", s))
-    return is_phone(s) and bool(re.fullmatch(r"\+?[0-9(][0-9 ()./-]+[0-9]", s)) and len(re.findall(r"[ ()./-]+", s)) >= 2
+        return is_card(s) and bool(re.fullmatch(r"[0-9]+([\x20./-]{1,3}[0-9]+)+", s))
+    return is_phone(s) and bool(re.fullmatch(r"(\+|00)?\x20?[0-9(][0-9\x20()./-]+[0-9]", s)) and len(re.findall(r"[\x20()./-]+", s)) >= 2
+
+
+def rewritten(kind: str, s: str, rng: random.Random) -> str:
+    """A span as someone might write it to get past the rules; it is plausible, and mostly no span of theirs."""
+    if kind in ("email", "ip"):
+        dot = rng.choice([" . ", "[.]", "(dot)", ". "] if kind == "email" else [" . ", "[.]", ". "])
+        if kind == "ip":
+            return s.replace(".", dot)
+        name, _, host = s.rpartition("@")
+        return name + rng.choice([" @ ", "(at)", " [at] ", " (at) ", "@ "]) + (host.replace(".", dot) if rng.random() < 0.5 and dot != ". " else host)
+    d, sep = digits(s), rng.choice([".", "/", " - ", "  "] if kind == "card" else [" ", "-", "."])
+    if kind == "card":
+        return sep.join(d[i : i + 4] for i in range(0, len(d), 4))
+    return rng.choice([f"({d[:-7]}) {d[-7:-4]}{sep}{d[-4:]}", f"00 {d[:-7]}{sep}{d[-7:-4]}{sep}{d[-4:]}", f"{d[:-7]}{sep}{d[-7:-4]}{sep}{d[-4:]}"])
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
@@ -108,23 +129,51 @@ def stretches(text: str) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
+def window_of(text: str, spans: list[tuple[str, int, int]], start: int) -> tuple[int, np.ndarray]:
+    """(where it begins, tags) of a window that holds ``start``; it begins within no span."""
+    lo = max(0, min(start - 8 - (start * 7) % 13, len(text) - WINDOW))
+    for _, s, e in spans:
+        if s < lo < e:
+            lo = s if e > start else e
+    tags = np.zeros(WINDOW, np.int8)
+    for k, s, e in spans:
+        a, b = s - lo, min(e - lo, WINDOW)
+        if 0 <= a < b and not tags[a:b].any():
+            i = 1 + 2 * KINDS.index(k)
+            tags[a:b], tags[a] = i + 1, i
+    return lo, tags
+
+
 def _training(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Windows around a base span, or around another trigger, and their tags, of each text."""
+    """Windows of each text and their tags: around base spans, around the same spans rewritten, and around other triggers.
+
+    At most WINDOWS_OF_TEXT of each of the first two, and two or three of the last; a span that no window holds is left out.
+    """
     for pdf in batches:
         rows = []
         for d, text in zip(pdf.doc_id, pdf.text, strict=True):
             n, own = 0, base_spans(text)
-            plain = [("", *m.span()) for m in TRIGGER.finditer(text) if not any(s - WINDOW < m.start() < e + WINDOW for _, s, e in own)] if len(own) < 50 else []
-            for kind, s, e in own[:WINDOWS_OF_TEXT] + plain[:: 1 + len(plain) // 2][:2]:
-                if e - s > WINDOW - 8:
+            some = []
+            for kind, s, e in own[:WINDOWS_OF_TEXT]:
+                if e - s > WINDOW - 24:
                     continue
-                lo = max(0, min(s - 8 - (s * 7) % 13, len(text) - WINDOW))
-                part = text[lo : lo + WINDOW]
-                tags = np.zeros(WINDOW, np.int8)
-                for k, a, b in base_spans(part):
-                    i = 1 + 2 * KINDS.index(k)
-                    if not tags[a:b].any():
-                        tags[a:b], tags[a] = i + 1, i
+                some.append((kind, text, own, s))
+                new = rewritten(kind, text[s:e], random.Random(zlib.crc32(text[s:e].encode("utf-8", "surrogatepass"))))
+                shift = len(new) - (e - s)
+                if len(new) <= WINDOW - 24 and plausible(kind, new) and not any(x < e and s < y for k, x, y in own if (k, x, y) != (kind, s, e)):
+                    moved = [(k, x + shift * (x >= e), y + shift * (x >= e)) for k, x, y in own if (k, x, y) != (kind, s, e)]
+                    some.append((kind, text[:s] + new + text[e:], [*moved, (kind, s, s + len(new))], s))
+            near, last, others = iter(own), None, []
+            for m in TRIGGER.finditer(text):
+                while last is None or last[2] + WINDOW <= m.start():
+                    if (last := next(near, (None, len(text) + WINDOW, len(text) + 2 * WINDOW))) is None:
+                        break
+                if m.start() <= last[1] - WINDOW:
+                    others.append(m.start())
+            some += [("", text, own, s) for s in others[:: 1 + len(others) // 2][:3]]
+            for kind, whole, spans, s in some:
+                lo, tags = window_of(whole, spans, s)
+                part = whole[lo : lo + WINDOW]
                 x = np.full(WINDOW, PAD, np.int16)
                 x[: len(part)] = encode(part)
                 rows.append((d, n, kind, x.tobytes(), tags.tobytes()))
@@ -180,12 +229,20 @@ def tag_texts(tagger: CharTagger, texts: list[str], group: int = 2048) -> list[l
     return out
 
 
+def whole_name(text: str, start: int) -> int:
+    """Where the name of an address begins: it may reach beyond the stretch that was decoded."""
+    while start and text[start - 1] in LOCAL:
+        start -= 1
+    return start
+
+
 def all_spans(model: CharTagger | None, texts: list[str]) -> tuple[list, list]:
     """The rules' spans of each text, and those with the model's."""
     base = [base_spans(t) for t in texts]
     more = tag_texts(model, texts) if model is not None else [[] for _ in texts]
     every = []
     for t, own, new in zip(texts, base, more, strict=True):
+        new = [(k, whole_name(t, s) if k == "email" else s, e) for k, s, e in new]
         added = [(k, s, e) for k, s, e in new if plausible(k, t[s:e]) and not any(s < y and x < e for _, x, y in own)]
         every.append(sorted([*own, *added], key=lambda x: (x[1], KINDS.index(x[0]), x[2])))
     return base, every
