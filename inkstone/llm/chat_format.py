@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -81,7 +82,7 @@ class PartVisitor:
         self._placeholder("image", part, -(-w // self.patch) * -(-h // self.patch), out)
 
     def visit_audio(self, part: dict, out: Flattened) -> None:
-        self._placeholder("audio", part, self.audio * -(-int(part.get("seconds") or 0) // 1), out)
+        self._placeholder("audio", part, self.audio * math.ceil(part.get("seconds") or 0), out)
 
     def visit_document(self, part: dict, out: Flattened) -> None:
         self._placeholder("document", part, 0, out)
@@ -121,7 +122,9 @@ class Reader:
 def format_turns(turns: DataFrame, parts_col: str | None = None) -> DataFrame:
     """(conv_id, turn, role, formatted, attachments, attachment_tokens) for each row of a table of turns.
 
-    parts_col: a JSON list of parts; where it is absent or null, ``text`` is the one part (null: empty).
+    parts_col: a JSON list of parts; where it is absent or null, ``text`` is the one part (null: empty).  Null ids and turns
+    stay null, a null role is empty, repeated rows each come back, and an empty table gives no rows.  Other columns are not
+    read.
     """
     tune(turns.sparkSession)
 

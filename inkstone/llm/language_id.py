@@ -72,9 +72,17 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", orders:
         docs: dict[str, int] = {}
         for pdf in batches:
             for lang, part in pdf.groupby("lang"):
-                x = np.concatenate([ngrams(t, orders, buckets) for t in part.text])
-                sums[lang] = sums.get(lang, 0) + np.bincount(x, minlength=buckets)
+                sums.setdefault(lang, np.zeros(buckets, np.int64))
                 docs[lang] = docs.get(lang, 0) + len(part)
+                held, size = [], 0
+                for t in [*part.text, None]:  # a bounded number of n-grams at once
+                    if t is None or size > 500_000:
+                        if held:
+                            sums[lang] += np.bincount(np.concatenate(held), minlength=buckets)
+                        held, size = [], 0
+                    if t is not None:
+                        held.append(ngrams(t, orders, buckets))
+                        size += len(held[-1])
         for lang, s in sums.items():
             at = np.flatnonzero(s)
             yield pd.DataFrame({"lang": lang, "bucket": np.r_[-1, at], "n": np.r_[docs[lang], s[at]]})

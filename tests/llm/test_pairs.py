@@ -27,7 +27,8 @@ def brute_components(rows, k, percent):
 
 
 @pytest.mark.parametrize(("k", "percent", "block"), [(3, 90, 1_000_000), (5, 80, 300)])
-def test_ngram_join_is_brute_force(spark, k, percent, block):
+def test_ngram_join_is_brute_force(spark, k, percent, block, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CROWD", 3 if block == 300 else ngram_join.CROWD)
     rng = random.Random(7)
     rows = corpus()
     base = prose(rng, 120)
@@ -111,28 +112,39 @@ def test_components(spark):
 
 
 def brute_substrings(rows, window):
-    seen, out = set(), {}
-    for i, t in sorted(((i, t) for i, t in rows), key=lambda x: x[0]):
-        w = words(t)
-        gone = [False] * len(w)
+    """By row: the words of windows whose sequence starts earlier, in a smaller id or before in the same."""
+    first, out = {}, []
+    split = [(i, words(t)) for i, t in rows]
+    for i, w in split:
         for s in range(len(w) - window + 1):
             key = tuple(w[s : s + window])
-            if key in seen:
+            first[key] = min(first.get(key, (i, s)), (i, s))
+    for i, w in split:
+        gone = [False] * len(w)
+        for s in range(len(w) - window + 1):
+            if first[tuple(w[s : s + window])] < (i, s):
                 gone[s : s + window] = [True] * window
-            seen.add(key)
         kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
-        out[i] = (len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest())
-    return out
+        out.append((i, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out)
 
 
 @pytest.mark.parametrize(("batches", "window"), [(1, 20), (7, 20), (2, 6)])
 def test_substring_dedup_is_brute_force(spark, batches, window):
     rng = random.Random(4)
-    rows = corpus(11)[:-2] + [(900, "a b " * 60), (901, prose(rng, 30, 3)), (902, prose(rng, 200, 2))]
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(frame(spark, rows), window, batches).collect()}
+    rows = corpus(11) + [(900, "a b " * 60), (901, prose(rng, 30, 3)), (902, prose(rng, 200, 2))]
+    t = prose(rng, 30)
+    rows += [(950, t), (950, t), (951, t), (951, "q " + t), (951, t + " r s"), (952, t[:-9])]
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(frame(spark, rows), window, batches).collect())
     assert got == brute_substrings(rows, window)
 
 
+def test_rows_that_repeat_an_id_keep_their_text(spark):
+    t = " ".join(f"x{i}" for i in range(30))
+    got = substring_dedup.substring_dedup(frame(spark, [(0, t), (0, t), (2, t)])).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(0, 0), (0, 0), (2, 30)]
+
+
 def test_substring_dedup_of_nothing(spark):
     assert substring_dedup.substring_dedup(frame(spark, [(1, "a")]).limit(0), batches=2).collect() == []
     (row,) = substring_dedup.substring_dedup(frame(spark, [(None, "a b " * 30)])).collect()
@@ -162,6 +174,14 @@ def test_embedding_links_are_brute_force(spark):
     assert embedding_graph.embedding_near_dedup(df.limit(0)).collect() == []
 
 
+def test_vectors_of_any_length_and_norm(spark):
+    rows = [(0, [1e200, 2e200, 0.0]), (1, [2e200, 4e200, 0.0]), (2, [1e-200, 2e-200, 0.0]), (3, [5e-324, 1e-323, 0.0]), (4, [0.0, 0.0, 1.0]), (5, [1.0, 2.0]), (6, [2.0, 4.0]), (7, [1.0]), (8, [1.0, 2.0, 0.0, 0.0]), (None, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in embedding_graph.embedding_near_dedup(df).collect()), key=str)
+    want = [(0, 3, 0), (1, 3, 0), (2, 3, 0), (3, 3, 0), (4, 0, 4), (5, 1, 5), (6, 1, 5), (7, 0, 7), (8, 0, 8), (None, 0, None)]
+    assert got == sorted(want, key=str)
+
+
 def test_large_shards_are_searched_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(embedding_graph, "BLOCK", 60)
     rng = np.random.default_rng(3)
