@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch: texts may be long, so a batch is bounded by both.
-ARROW_ROWS, ARROW_BYTES = 2000, "8m"
+ARROW_ROWS, ARROW_BYTES = 2000, "4m"
 #: A key with more than one in so many rows of a table is hot; so there are no more hot keys than this.
 HOT_KEYS = 1000
 
