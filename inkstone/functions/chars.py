@@ -38,3 +38,14 @@ def kind_of(ch: str) -> str:
         if ch in members:
             return name
     return "whitespace" if ch in SPACES else "other"
+
+
+def script_of(cluster: str) -> str:
+    """han, latin, digit or other: that of a grapheme's first character that isn't a combining mark, a variation selector or
+    a joiner."""
+    base = next((c for c in cluster if not 0x300 <= ord(c) <= 0x36F and not 0xFE00 <= ord(c) <= 0xFE0F and c != "\u200d"), cluster[:1])
+    if kind_of(base) == "cjk" or 0x20000 <= ord(base) <= 0x2A6DF:
+        return "han"
+    if kind_of(base) in ("latin", "digit"):
+        return kind_of(base)
+    return "latin" if "\u00c0" <= base <= "\u024f" else "other"
