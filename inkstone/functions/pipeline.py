@@ -185,7 +185,7 @@ def edit_lines(text: str, rules: list[str], mark: str, values: list[str]) -> str
 def format_text(text: str, request: Request = Request(), dictionary: Mapping[str, str] | None = None) -> str:
     """A request applied to a whole text."""
     if len(text) * 4 > MAX_TEXT_BYTES and len(text.encode("utf-8", "surrogatepass")) > MAX_TEXT_BYTES:
-        raise RequestError("text_too_long", f"the text is longer than {MAX_TEXT_BYTES} bytes")
+        raise RequestError("input_too_large", f"the text is longer than {MAX_TEXT_BYTES} bytes")
     rules = request.rules()
     text, newline = split_newlines(text)
     if "cleanup.limit-blank-lines" in rules:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # Limits of a request, and the catalogue.
 MAX_TEXT_BYTES, MAX_KEYS, MAX_REPLACEMENTS, MAX_REPLACEMENT_BYTES = 10 * 1024 * 1024, 500, 200, 16 * 1024
@@ -127,7 +127,6 @@ class Request:
     selection: str | tuple[str, ...] = "defaults"
     replacements: tuple[Replacement, ...] = ()
     conversion: str = "none"
-    extra: dict = field(default_factory=dict, compare=False)
 
     def rules(self) -> list[str]:
         return expand(self.selection if isinstance(self.selection, str) else list(self.selection))
@@ -139,7 +138,7 @@ class Request:
         if len(self.replacements) > MAX_REPLACEMENTS:
             raise RequestError("too_many_replacements", f"more than {MAX_REPLACEMENTS} replacements")
         if any(len(x.encode()) > MAX_REPLACEMENT_BYTES for r in self.replacements for x in (r.source, r.target)):
-            raise RequestError("replacement_too_long", f"a replacement is longer than {MAX_REPLACEMENT_BYTES} bytes")
+            raise RequestError("replacement_too_large", f"a replacement is longer than {MAX_REPLACEMENT_BYTES} bytes")
         if self.conversion not in ("none", "t2s", "s2t"):
             raise RequestError("unknown_conversion", f"unknown conversion {self.conversion!r}")
 
@@ -150,7 +149,6 @@ class RequestError(ValueError):
         self.code = code
 
 
-_technical = [k for k in DEFAULTS]
 PRESETS = {
     "copywriting": Request("defaults"),
     "pdf-cleaning": Request(tuple(sorted({"cleanup.reference-square", "cleanup.collapse-horizontal-spaces", "cleanup.limit-blank-lines", *DEFAULTS}, key=ORDER.index))),

@@ -145,6 +145,43 @@ REWRITES: dict[str, tuple[Rewrite | Translate, ...]] = {
 }
 
 
+#: What a text must have at all for a rule to change it.
+NEEDS = {
+    "cleanup.reference-square": r"[\[【]",
+    "cleanup.collapse-horizontal-spaces": "  ",
+    "cleanup.kangxi-radicals": "[\u2f00-\u2fd5]",
+    "cleanup.cjk-internal-space": " ",
+    "punctuation.no-repetition": "[！？!?~～。，；：、]",
+    "punctuation.fullwidth-cjk": "[,;:.!?()\"']",
+    "text.halfwidth-digits": "[０-９]",
+    "text.halfwidth-ascii": "[！-～]",
+    "text.ascii-punct-in-latin": "[。！？，：；＆（）]|  ",
+    "naming.proper-nouns": "[A-Za-z]",
+    "naming.expand-abbreviations": "[A-Za-z]",
+    "punctuation.corner-quotes": "[\"'“‘]",
+    "text.unicode-equivalents": "[\u00b5\u212b]",
+    "spacing.cjk-latin": f"[{HAN}\U00020000-\U0002a6df<>=]",
+    "spacing.cjk-number": f"[{HAN}\U00020000-\U0002a6df]",
+    "spacing.number-unit": r"[\p{Nd}‰]",
+    "spacing.numeric-punctuation": "[0-9]",
+    "spacing.temperature-cjk": "[℃℉]",
+    "spacing.no-space-around-fw-punct": f"[{FULLWIDTH_MARKS}]",
+}
+#: Rules that look at no more than a word and its neighbours, so they need no division into lines.
+LINE_FREE = {"naming.proper-nouns"}
+
+
+@cache
+def _needed(key: str) -> regex.Pattern:
+    return regex.compile(NEEDS.get(key, ""))
+
+
+@cache
+def _names() -> regex.Pattern:
+    """All names in one pass: longer ones first, as the rule's rewrites go."""
+    return regex.compile(f"{NOT_AN_BEFORE}(?:{'|'.join(map(any_case, sorted(PROPER_NOUN_FORMS, key=lambda x: (-len(x), x))))}){NOT_AN_AFTER}")
+
+
 @cache
 def _compiled(pattern: str) -> regex.Pattern:
     return regex.compile(pattern)
@@ -185,8 +222,12 @@ def _python_form(to: str) -> str:
 
 def apply_rule(key: str, text: str) -> str:
     """A rule on a fragment of one line; the two rules that need structure are in the pipeline."""
+    if not _needed(key).search(text):
+        return text
     if key == "spacing.number-unit":
         return number_unit(text)
+    if key == "naming.proper-nouns":
+        return _names().sub(lambda m: PROPER_NOUN_FORMS[m[0].lower()], text)
     for r in REWRITES[key]:
         text = rewrite(text, r)
     return text
@@ -197,11 +238,20 @@ def native_rule(key: str, col: Column) -> Column:
     if key == "cleanup.limit-blank-lines":
         return limit_blank_lines(col)
     steps = REWRITES[key]
+    if key in LINE_FREE:
+        return _words_that_occur(col, list(zip(sorted(PROPER_NOUN_FORMS, key=lambda x: (-len(x), x)), steps, strict=True)))
     if all(isinstance(r, Translate) for r in steps):  # can't reach over a line end
         return _native(steps, col)
     return F.when(F.instr(col, "\n") == 0, _native(steps, col)).otherwise(F.array_join(F.transform(F.split(col, "\n", -1), lambda line: _native(steps, line)), "\n"))
 
 
+def _words_that_occur(col: Column, steps: list[tuple[str, Rewrite]]) -> Column:
+    """Rewrites of words, in order; a text goes through those whose word it has in some case, which a plain search tells."""
+    words = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(r.pattern).alias("pattern"), F.lit(r.to).alias("to")) for w, r in steps])
+    found = F.transform(F.array(F.lower(col)), lambda low: F.filter(words, lambda w: F.contains(low, w["word"])))[0]
+    return F.aggregate(found, col, lambda text, w: F.regexp_replace(text, w["pattern"], w["to"]))
+
+
 def _native(steps: tuple[Rewrite | Translate, ...], col: Column) -> Column:
     out, guarded = col, []
     for r in steps:

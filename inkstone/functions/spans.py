@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import regex
@@ -138,6 +139,8 @@ def _links(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _addresses(text: str) -> Iterator[tuple[str, int, int]]:
+    if "@" not in text and "://" not in text:
+        return
     for m in (ADDRESS if "@" in text else ONLY_URL).finditer(text):
         yield ("url" if m["url"] is not None else "email"), *m.span()
 
@@ -148,7 +151,12 @@ def address_spans(text: str) -> list[Span]:
 
 
 def structure_spans(text: str) -> list[Span]:
-    """Markdown, HTML, LaTeX and addresses, arbitrated."""
+    """Markdown, HTML, LaTeX and addresses, arbitrated; the last few texts are remembered, as stages ask again."""
+    return list(_structure_spans(text))
+
+
+@lru_cache(maxsize=4)
+def _structure_spans(text: str) -> list[Span]:
     found: list[tuple[str, int, int]] = []
 
     def every(kind: str, rx: regex.Pattern) -> None:
@@ -158,8 +166,10 @@ def structure_spans(text: str) -> list[Span]:
         found.append(("front_matter", *m.span()))
     if "```" in text or "~~~" in text:
         every("fenced_code", FENCE)
-    every("indented_code", INDENTED)
-    every("hard_break", BREAK)
+    if "    " in text or "\t" in text:
+        every("indented_code", INDENTED)
+    if "  " in text or "\\" in text:
+        every("hard_break", BREAK)
     if "]:" in text:
         every("reference_definition", REFERENCE)
     if "`" in text:
@@ -195,9 +205,13 @@ def math_expressions(text: str) -> list[tuple[int, int]]:
     return out
 
 
+# Units that are written with different code points, and one name for each.
+UNIT_KEYS = {"μm": "um", "\u00b5m": "um", "\u00c5": "angstrom", "\u212b": "angstrom"}
+
+
 def unit_key(unit: str) -> str:
     """A unit's name whatever its code points; it never changes a text."""
-    return {"μm": "um", "\u00b5m": "um", "\u00c5": "angstrom", "\u212b": "angstrom"}.get(unit, "unit")
+    return UNIT_KEYS.get(unit, "unit")
 
 
 def semantic_spans(text: str) -> list[Span]:

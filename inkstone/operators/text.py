@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.functions import pipeline, registry, spans
-from inkstone.functions.chars import kind_of
+from inkstone.functions.chars import kind_of, script_of
+from inkstone.functions.edits import Edit, apply, arbitrate, edit
 from inkstone.functions.registry import Replacement, Request, RequestError
 from inkstone.functions.rules import native_rule
 
@@ -89,6 +90,33 @@ def tokens_column(col: Column) -> Column:
     return run(col)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly to all cores where the scan has fewer splits than there are, as a table of one row group has."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def scripts_column(col: Column) -> Column:
+    """array<struct<text, script>> of grapheme clusters: han, latin, digit or other."""
+
+    @F.pandas_udf("array<struct<text:string,script:string>>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else [{"text": g, "script": script_of(g)} for g in regex.findall(r"\X", t)] for t in texts], dtype=object)
+
+    return run(col)
+
+
+def edited_column(col: Column, edits: Column) -> Column:
+    """The text with an array<struct<start, end, to, priority>> applied after arbitration; a range outside it is an error."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series, lists: pd.Series) -> pd.Series:
+        rows = [[Edit(e["start"], e["end"], e["to"], e["priority"]) for e in x] if x is not None else [] for x in lists]
+        return pd.Series([None if t is None else apply(t, arbitrate([edit(t, *e) for e in x])) for t, x in zip(texts, rows, strict=True)], dtype=object)
+
+    return run(col, edits)
+
+
 def graphemes_column(col: Column) -> Column:
     """Extended grapheme clusters, by a built-in expression."""
     return F.regexp_extract_all(col, F.lit(r"(\X)"), F.lit(1))
@@ -131,6 +159,11 @@ def normalize_keys_table(df: DataFrame, key_col: str, position_col: str) -> Data
     return joined.groupBy(F.col("stable").alias("key")).agg(F.min(position_col).alias("position"))
 
 
+def capabilities() -> dict[str, bool]:
+    """What this build can do; conversion between scripts needs a dictionary of the caller's."""
+    return {"conversion": False, "conversion_with_dictionary": True, "streaming": True}
+
+
 def register(spark: SparkSession) -> None:
     """SQL functions: ink_format(text), ink_format_all(text), ink_spans(text)."""
 
