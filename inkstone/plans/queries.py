@@ -26,7 +26,7 @@ def _load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _seeded(table: str, key: str, seed: str):
-    return lambda spark, sf_dir: _load(spark, sf_dir, table).select(key, F.expr(seed).alias("seed"))
+    return lambda spark, sf_dir: ops.spread(_load(spark, sf_dir, table).select(key, F.expr(seed).alias("seed")))
 
 
 def _query(name: str, table: str, key: str, seed: str, make: Callable, expected: str) -> None:
@@ -79,7 +79,7 @@ _query("rule_spacing_around_links", *ORDER, "concat('看https://a.cn/', o_orderk
 # whole texts as they are
 _query("no_repetition_documents", "documents", "doc_id", "text", lambda c: ops.native_format(c, ["punctuation.no-repetition"]), sub("{s}", *REPEATS))
 _query("collapse_spaces_documents", "documents", "doc_id", "text", lambda c: ops.native_format(c, ["cleanup.collapse-horizontal-spaces"]), sub("{s}", (" {2,}", " ")))
-_query("proper_nouns_documents", "documents", "doc_id", "text", lambda c: ops.native_format(c, ["naming.proper-nouns"]), "{s}")
+_query("proper_nouns_documents", "documents", "doc_id", "concat('mit github, ', text, ' und JAVASCRIPT-macs wi-fi')", lambda c: ops.native_format(c, ["naming.proper-nouns"]), "concat('mit GitHub, ', text, ' und JavaScript-macs Wi-Fi')")
 
 # the whole request: protection, spacing at its edges, presets, replacements
 _SHOP = "concat('在', s_name, '的`a,b`里花了', s_suppkey, '元,见https://a.cn/', s_suppkey, ' 好！！')"
@@ -113,6 +113,35 @@ FROM (VALUES ('url', 2, ''), ('inline_code', 2, '`x`'), ('email', 2, 'a@b.cn'),
              ('math_expression', 1, '1±2'), ('chemical_formula', 1, 'H₂O')) AS k(kind, priority, least),
      (SELECT count(*) AS n, min(concat('https://a.cn/', o_orderkey)) AS u FROM orders)
 """
+# kind of span, text, and the span in it
+STRUCTURES = [
+    ("front_matter", "concat('---', chr(10), 'title: ', n_name, chr(10), '---', chr(10), '正文')", "concat('---', chr(10), 'title: ', n_name, chr(10), '---')"),
+    ("fenced_code", "concat('前', chr(10), '```py', chr(10), n_name, ',', chr(10), '```', chr(10), '后')", "concat('```py', chr(10), n_name, ',', chr(10), '```')"),
+    ("html_comment", "concat('甲<!-- ', n_name, ' -->乙')", "concat('<!-- ', n_name, ' -->')"),
+    ("reference_definition", "concat('见', chr(10), '[', n_name, ']: https://a.cn/x', chr(10), '后')", "concat('[', n_name, ']: https://a.cn/x')"),
+    ("indented_code", "concat('前', chr(10), '    ', n_name, chr(10), '后')", "concat('    ', n_name)"),
+    ("table_separator", "concat('|a|b|', chr(10), '|---|:---:|', chr(10), '|', n_name, '|c|')", "'|---|:---:|'"),
+    ("html_block", "concat('<div>', n_name, '</div>', chr(10), '后')", "concat('<div>', n_name, '</div>')"),
+    ("hard_break", "concat('行', n_name, '  ', chr(10), '次')", "'  '"),
+    ("latex_math", "concat('见', chr(92), 'frac{', n_name, '}{2}吧')", "concat(chr(92), 'frac{', n_name, '}{2}')"),
+    ("scientific_unit", "concat('约', n_nationkey, 'mg·L⁻¹吧')", "concat(n_nationkey, 'mg·L⁻¹')"),
+]
+
+
+def _structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per span in a text for each kind of structure that the other queries lack."""
+    texts = F.explode(F.array(*[F.struct(F.lit(kind).alias("seeded"), F.expr(seed).alias("seed")) for kind, seed, _ in STRUCTURES])).alias("s")
+    rows = _load(spark, sf_dir, "nation").select("n_nationkey", texts).select("n_nationkey", "s.*")
+    return ops.span_table(rows, "seed", "n_nationkey", "seeded").select("n_nationkey", "seeded", "kind", "value")
+
+
+QUERIES["spans_of_structures"] = _structures
+ORACLES["spans_of_structures"] = " UNION ALL ".join(f"SELECT n_nationkey, '{kind}' AS seeded, '{kind}' AS kind, {value} AS value FROM nation" for kind, _, value in STRUCTURES)
+_query("math_suffix", "nation", "n_nationkey", "concat('面积2×', n_nationkey, 'cm²的和', n_nationkey, 'cm的')", lambda c: ops.format_column(c, Request(("spacing.number-unit",))), "concat('面积 2×', n_nationkey, 'cm² 的和', n_nationkey, ' cm的')")
+_query("grapheme_scripts", "nation", "n_nationkey", "concat('汉é', n_nationkey, '２👩‍👩‍👧𠀀ñ。')", lambda c: F.array_join(F.transform(ops.scripts_column(c), lambda g: g["script"]), ","), "concat('han,latin,', repeat('digit,', length(CAST(n_nationkey AS VARCHAR)) + 1), 'other,han,latin,other')")
+_EDITS = "array(named_struct('start', 0, 'end', 1, 'to', '<', 'priority', 0), named_struct('start', 0, 'end', 2, 'to', '[', 'priority', 1), named_struct('start', 2, 'end', 2, 'to', '+', 'priority', 0), named_struct('start', 3, 'end', 3, 'to', '!', 'priority', 0), named_struct('start', 3, 'end', 3, 'to', '?', 'priority', 0))"
+_query("edits", "nation", "n_nationkey", "concat('abc', n_name)", lambda c: ops.edited_column(c, F.expr(_EDITS)), "concat('[+c!', n_name)")
+_query("request_limits", "nation", "n_nationkey", "concat('单', n_nationkey)", lambda c: F.concat_ws(",", *[F.coalesce(ops.try_format_column(c, r)["error"], F.lit("ok")) for r in (Request(("x",) * 500), Request(("x",) * 501), Request("none", (Replacement("a", "b"),) * 201), Request("none", (Replacement("a", "b" * 16385),)))]), "'ok,too_many_rules,too_many_replacements,replacement_too_large'")
 QUERIES["emails_in_documents"] = lambda spark, sf_dir: _load(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(ops.spans_column(F.col("text"), "addresses"), lambda s: s["kind"] == "email")).alias("emails"))
 ORACLES["emails_in_documents"] = "SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,}')) AS INT) AS emails FROM documents"
 QUERIES["token_kinds"] = lambda spark, sf_dir: _seeded("part", "p_partkey", "concat('中a', p_size, '，² ₂·☃')")(spark, sf_dir).select(F.explode(ops.tokens_column(F.col("seed"))).alias("t")).groupBy(F.col("t.kind").alias("kind")).agg(F.count("*").alias("n"))
@@ -163,7 +192,11 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="inkstone-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="inkstone-")
     at = f"{base}/stream/{uuid.uuid4().hex}"
     # a stream reads folders: a table that is one file is read by its name within its folder
     source = f"{sf_dir}/documents.parquet*"

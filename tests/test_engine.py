@@ -92,9 +92,9 @@ def test_limits():
     assert format_text("a" * registry.MAX_TEXT_BYTES, Request("none"))
     with pytest.raises(registry.RequestError) as e:
         format_text("a" * (registry.MAX_TEXT_BYTES + 1), Request("none"))
-    assert e.value.code == "text_too_long"
+    assert e.value.code == "input_too_large"
     Request(("x",) * registry.MAX_KEYS).check()
-    for bad, code in ((Request(("x",) * (registry.MAX_KEYS + 1)), "too_many_rules"), (Request(replacements=(Replacement("a", "b"),) * 201), "too_many_replacements"), (Request(replacements=(Replacement("a" * 16385, ""),)), "replacement_too_long"), (Request(conversion="x"), "unknown_conversion")):
+    for bad, code in ((Request(("x",) * (registry.MAX_KEYS + 1)), "too_many_rules"), (Request(replacements=(Replacement("a", "b"),) * 201), "too_many_replacements"), (Request(replacements=(Replacement("a" * 16385, ""),)), "replacement_too_large"), (Request(conversion="x"), "unknown_conversion")):
         with pytest.raises(registry.RequestError) as e:
             bad.check()
         assert e.value.code == code
@@ -194,3 +194,47 @@ def test_command_line(tmp_path, capsys):
     with pytest.raises(SystemExit) as e:
         cli.main(["--what"])
     assert e.value.code == 2
+
+
+def test_edit_algebra():
+    import itertools
+
+    from inkstone.functions.edits import Edit, apply, arbitrate, conflict, edit
+
+    text = "abcd"
+    every = [edit(text, s, e, to, p) for s in range(5) for e in range(s, 5) for to, p in (("", 0), ("x", 1))]
+    for a, b in itertools.product(every, every):
+        shared = set(range(a.start, a.end)) & set(range(b.start, b.end))
+        within = any(x.start == x.end and y.start < x.start < y.end for x, y in ((a, b), (b, a)))
+        assert conflict(a, b) == conflict(b, a) == bool(shared or within or (a.start == a.end == b.start == b.end))
+    kept = arbitrate([edit(text, 0, 2, "1"), edit(text, 1, 4, "2", 2), edit(text, 0, 1, "3"), edit(text, 4, 4, "!")])
+    assert kept == [Edit(0, 1, "3", 0), Edit(1, 4, "2", 2), Edit(4, 4, "!", 0)]
+    assert apply(text, kept) == "32!" and apply(text, []) == text
+    assert apply("汉字", [edit("汉字", 1, 1, "-"), edit("汉字", 0, 1, "漢")]) == "漢-字"
+    with pytest.raises(ValueError):
+        apply(text, [edit(text, 0, 2, ""), edit(text, 1, 3, "")])
+    for s, e in ((3, 2), (0, 5), (-1, 1)):
+        with pytest.raises(ValueError):
+            edit(text, s, e, "")
+
+
+def test_scripts_of_graphemes():
+    from inkstone.functions.chars import script_of
+
+    assert [script_of(g) for g in ("汉", "汉́", "𠀀", "a", "é", "é", "9", "９", "。", "🎉", "́", "カ")] == ["han", "han", "han", "latin", "latin", "latin", "digit", "digit", "other", "other", "other", "other"]
+
+
+def test_rules_change_nothing_without_what_they_need():
+    """A rule's guard is no stricter than the rule."""
+    from inkstone.functions import rules
+
+    pool = "中文ab1２ ，。！?!.,:;()（）\"'“”‘’[3]【】µÅ℃℉%‰kg5⼀ts github<*x*>≈×"
+    rng = __import__("random").Random(3)
+    for _ in range(3000):
+        t = "".join(rng.choice(pool) for _ in range(rng.randrange(1, 9)))
+        for key, steps in rules.REWRITES.items():
+            if key not in ("spacing.number-unit", "spacing.around-links"):
+                want = t
+                for r in steps:
+                    want = rules.rewrite(want, r)
+                assert rules.apply_rule(key, t) == want, (key, t)
