@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import mix64, tune
 
 UNKNOWN = "und"
+#: N-grams that are looked up or counted at once.
+PIECE = 500_000
 _letters: np.ndarray | None = None
 
 
@@ -76,7 +78,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", orders:
                 docs[lang] = docs.get(lang, 0) + len(part)
                 held, size = [], 0
                 for t in [*part.text, None]:  # a bounded number of n-grams at once
-                    if t is None or size > 500_000:
+                    if t is None or size > PIECE:
                         if held:
                             sums[lang] += np.bincount(np.concatenate(held), minlength=buckets)
                         held, size = [], 0
@@ -106,15 +108,15 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", orders:
 def score_texts(m: LanguageModel, texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     """Language and posterior probability of each text of a batch."""
     lang, best = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-    grams = [ngrams(t, m.orders, m.buckets) for t in texts]
-    at = np.flatnonzero([len(g) for g in grams])
-    if len(at) and m.langs:
-        sums = np.stack([m.log_prob[grams[i]].sum(0) for i in at]) + m.log_prior
-        p = np.exp(sums - sums.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        top = sums.argmax(1)
-        lang[at] = np.array(m.langs, object)[top]
-        best[at] = p[np.arange(len(at)), top]
+    for i, t in enumerate(texts if m.langs else []):
+        grams = ngrams(t, m.orders, m.buckets)
+        if not len(grams):
+            continue
+        pieces = range(0, len(grams), PIECE)  # a long text has very many n-grams
+        sums = sum((m.log_prob[grams[k : k + PIECE]].sum(0) for k in pieces), m.log_prior)
+        p = np.exp(sums - sums.max())
+        top = int(sums.argmax())
+        lang[i], best[i] = m.langs[top], p[top] / p.sum()
     return lang, best
 
 
