@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 ARROW_ROWS, ARROW_BYTES = 2000, "4m"
 #: A key with more than one in so many rows of a table is hot; so there are no more hot keys than this.
 HOT_KEYS = 1000
+#: Rows of a file, where materialize() knows how many rows there are at most.
+ROWS_OF_FILE = 16384
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,12 +60,15 @@ def collect_garbage(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def materialize(df: DataFrame, tag: str, free: bool = False) -> DataFrame:
+def materialize(df: DataFrame, tag: str, free: bool = False, most: int | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back: the lineage ends there and survives lost executors.
 
-    free: the step is a large one, so the shuffle files of the steps before it go first.
+    free: the step is a large one, so the shuffle files of the steps before it go first.  most: the number of rows at most,
+    so that a small table doesn't become a file for every shuffle partition; the last stage runs in as many tasks.
     """
     spark = df.sparkSession
+    if most is not None:
+        df = df.coalesce(most // ROWS_OF_FILE + 1)
     if free:
         collect_garbage(spark)
     path = f"{shared_dir(spark)}/{tag}"

@@ -36,8 +36,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
     """
     e = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).where("u <> v").distinct()
     now, mark = materialize(e, "edges"), None
+    most = 2 * now.count()  # a round gives no more than an edge for each edge and node
     for _ in range(rounds):
-        new = materialize(_small_star(_large_star(now)), "edges")
+        new = materialize(_small_star(_large_star(now)), "edges", most=most)
         got = new.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.expr("xxhash64(v, u) % 1000003"))).first()
         drop(now)
         now = new

@@ -430,14 +430,14 @@ def _sets(k: int):
     return sets
 
 
-def _blocks(met: DataFrame, block_shingles: int, every: bool) -> DataFrame:
+def _blocks(met: DataFrame, block_shingles: int, every: bool, most: int) -> DataFrame:
     """(center, block, node, n_shingles, counts, label, asks_only) of (center, s1, node, n_shingles, counts, label).
 
     A center with too many shingles is divided by hash; PIVOTS of its members, by hash too, are in each part.  every: its
-    members that aren't of its pivot's label ask in all parts, so no pair is lost.
+    members that aren't of its pivot's label ask in all parts, so no pair is lost.  most: the number of centers at most.
     """
     per = met.groupBy("center").agg(F.ceil(F.sum("n_shingles") / block_shingles).cast("int").alias("n_blocks"), (F.min("label") != F.max("label")).alias("mixed"))
-    per = materialize(per.where("mixed").drop("mixed"), "centers")
+    per = materialize(per.where("mixed").drop("mixed"), "centers", most=most)
     cols = ["center", "block", "node", "n_shingles", "counts", "label", "asks_only"]
     out = met.join(per, "center").withColumn("block", F.pmod(F.xxhash64("node"), "n_blocks").cast("int")).withColumn("asks_only", F.lit(False)).select(*cols)
     large = per.where("n_blocks > 1")
@@ -445,7 +445,7 @@ def _blocks(met: DataFrame, block_shingles: int, every: bool) -> DataFrame:
         return out
     dealt = met.join(large, "center")
     pivots = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "n_shingles", "counts", "label")).alias(f"p{i}") for i in range(PIVOTS)]
-    held = materialize(dealt.groupBy("center", "n_blocks").agg(*pivots), "pivots")
+    held = materialize(dealt.groupBy("center", "n_blocks").agg(*pivots), "pivots", most=most)
     parts = lambda df: df.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     if every:
         guests = dealt.join(held.select("center", F.col("p0.label").alias("main")), "center").where("label <> main")
@@ -466,7 +466,7 @@ def _joined(docs: DataFrame, k: int, percent: int, block_shingles: int) -> tuple
     real = sketch.where("doc_id is not null and n_shingles > 0")
     key = ["n_shingles", "s1", "s2"]
     classes = real.groupBy(*key).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.min("counts").alias("counts"))
-    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # numbered once, when written
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes", most=rows)  # numbered once, when written
 
     sigs = docs.where("doc_id is not null and text is not null").select("text").mapInArrow(_signatures(k, percent, CROWD), "sig long, s1 long, near boolean")
     seen = sigs.repartition("sig").sortWithinPartitions("near", "sig", "s1").mapInArrow(_meet, "center long, s1 long, near boolean")
@@ -479,8 +479,8 @@ def _joined(docs: DataFrame, k: int, percent: int, block_shingles: int) -> tuple
     drop(seen)
 
     # members without a possible partner leave; those of blocks that will be divided all stay for now
-    divided = materialize(met.groupBy("center").agg(F.sum("n_shingles").alias("n")).where(F.col("n") > block_shingles).select("center"), "divided")
-    whole = _blocks(met.join(divided, "center", "left_anti"), block_shingles, every=False)
+    divided = materialize(met.groupBy("center").agg(F.sum("n_shingles").alias("n")).where(F.col("n") > block_shingles).select("center"), "divided", most=rows)
+    whole = _blocks(met.join(divided, "center", "left_anti"), block_shingles, every=False, most=rows)
     left = grouped(whole, ["center", "block"], _filter_block(percent), BLOCK_SCHEMA).select("center", "node")
     near = materialize(left.unionByName(met.join(divided, "center", "left_semi").select("center", "node")), "near", free=True)
     wanted = near.select("node").distinct().join(classes, "node").select(F.col("class_id").alias("doc_id"), "node", "n_shingles", "s1")
@@ -496,18 +496,18 @@ def _joined(docs: DataFrame, k: int, percent: int, block_shingles: int) -> tuple
     # first each set in one block only, then all blocks that still hold more than one component
     met_near = met.join(near, ["center", "node"], "left_semi")
     home = met_near.groupBy("node").agg(F.min("center").alias("center"))
-    links = linked(_blocks(met_near.join(home, ["center", "node"], "left_semi").unionByName(met_near.where("center = s1")).distinct(), block_shingles, every=False).distinct())
+    links = linked(_blocks(met_near.join(home, ["center", "node"], "left_semi").unionByName(met_near.where("center = s1")).distinct(), block_shingles, every=False, most=rows).distinct())
     comps = connected_components(links)
     labelled = met_near.drop("label").join(comps.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    again = grouped(_blocks(materialize(labelled, "labelled"), block_shingles, every=True), ["center", "block"], _filter_block(percent), BLOCK_SCHEMA)
+    again = grouped(_blocks(materialize(labelled, "labelled"), block_shingles, every=True, most=rows), ["center", "block"], _filter_block(percent), BLOCK_SCHEMA)
     more = linked(materialize(again, "again", free=True))
     if not more.isEmpty():
         comps = connected_components(comps.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(more))
-    comps = materialize(comps, "components")
+    comps = materialize(comps, "components", most=rows)
 
     least = comps.join(classes.select("node", "class_id"), "node").groupBy("component").agg(F.min("class_id").alias("component_id"), F.count("*").alias("uses"))
-    named = materialize(join_with_hot_keys(comps, materialize(least, "least"), ["component"], "uses", rows).drop("uses"), "named")
-    classes = materialize(classes.drop("counts").join(named, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumn("component_id", F.coalesce("component_id", "class_id")), "of_class")
+    named = materialize(join_with_hot_keys(comps, materialize(least, "least", most=rows), ["component"], "uses", rows).drop("uses"), "named", most=rows)
+    classes = materialize(classes.drop("counts").join(named, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumn("component_id", F.coalesce("component_id", "class_id")), "of_class", most=rows)
     return join_with_hot_keys(real.select("doc_id", "text_hash", *key), classes, key, "copies", rows).drop("copies", "node", "s1", "s2").unionByName(
         sketch.where("not (doc_id is not null and n_shingles > 0)").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("class_id"), F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
     ), rows
