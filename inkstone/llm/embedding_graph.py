@@ -2,7 +2,7 @@
 
 Vectors are dealt to the nearest few of k-means centres, so shards overlap.  In each shard a flat graph is built with
 robust pruning; a vector's adjacency lists from its shards are united.  Each vector is then searched for in the graph of
-each of its shards: greedily from the medoid, and from itself, expanding the range to all that are close enough.  Every
+each of its shards: greedily from the medoids, and from itself, expanding the range to all that are close enough.  Every
 pair is verified by cosine in double precision.  Equal vectors are one class beforehand, shards that are too large are
 split into blocks that each query visits in turn, and recall is audited against a brute-force scan; where no overlap reaches
 the target, all blocks of vectors are compared with each other.
@@ -103,6 +103,13 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, pool:
     return out
 
 
+def medoids(x: np.ndarray) -> np.ndarray:
+    """The medoids of about sqrt(n) clusters of a block: a group of more near copies than a vector has neighbours lists nobody
+    else, so a search has to begin close to it."""
+    near = x @ kmeans(x, math.ceil(math.sqrt(len(x)))).T
+    return np.unique(near.argmax(0))
+
+
 def range_search(x: np.ndarray, graph: list[np.ndarray], q: np.ndarray, starts: list[int], least: float, beam: int = BEAM) -> np.ndarray:
     """Nodes whose cosine with q is at least ``least``, by greedy search that expands the range.
 
@@ -146,14 +153,31 @@ def _assign(centres, overlap: int):
     return run
 
 
-def _build(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(shard, block, src, dst): the graph of one block of one shard."""
-    pdf = pdf.sort_values("vec_id")
-    ids = pdf.vec_id.to_numpy()
-    graph = build_graph(unit(stack(pdf.vector)))
-    src = np.repeat(ids, [len(g) for g in graph])
-    dst = ids[np.concatenate(graph)] if len(src) else np.empty(0, np.int64)
-    return pd.DataFrame({"src": src, "dst": dst})
+def _build(reach: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """(of_shard, src, dst, near, inner): the graph of one block of one shard, for each shard that the source is in.
+
+        An edge is of use where the neighbour is a member too (inner), and elsewhere only if it is near.
+        """
+        pdf = pdf.sort_values("vec_id")
+        ids, shards, x = pdf.vec_id.to_numpy(), np.stack(pdf.shards.to_list()), unit(stack(pdf.vector))
+        graph = build_graph(x)
+        src, dst = np.repeat(np.arange(len(ids)), [len(g) for g in graph]), np.concatenate(graph)
+        near = np.concatenate([x[g] @ x[i] >= reach for i, g in enumerate(graph)])
+        out = []
+        for of_shard in shards[src].T:
+            inner = (shards[dst] == of_shard[:, None]).any(1)
+            keep = inner | near
+            out.append(pd.DataFrame({"of_shard": of_shard[keep], "src": ids[src[keep]], "dst": ids[dst[keep]], "near": near[keep], "inner": inner[keep]}))
+        return pd.concat(out)
+
+    return run
+
+
+def reach_of(least: float) -> float:
+    """The least cosine of an edge over which the expanding range can find a link: the angle between its ends is at most that
+    from the query to one that is expanded (``least`` less the slack) and that to the link's other end (``least``)."""
+    return math.cos(min(math.pi, math.acos(least) + math.acos(max(-1.0, least - SLACK))))
 
 
 def packed(ids: np.ndarray, copies: np.ndarray) -> bytes:
@@ -190,7 +214,7 @@ def _search(least: float, exact: bool = False):
             i, j = np.r_[i[ok], j[ok]], np.r_[j[ok], i[ok]]
             o = np.argsort(i, kind="stable")
             graph = np.split(j[o], np.cumsum(np.bincount(i, minlength=len(ids)))[:-1])
-            medoid, root = int((x @ x.mean(0)).argmax()), {}
+            entries, root = [] if exact else medoids(x[: max(1, int((index.role < 2).sum()))]), {}  # members come first
 
             def top(v: int) -> int:
                 while (p := root.setdefault(v, v)) != v:
@@ -200,7 +224,7 @@ def _search(least: float, exact: bool = False):
             bits = np.zeros((len(asked), -(-len(ids) // 8)), np.uint8)  # which of the index each query is linked with
             for k, (v, q) in enumerate(zip(asked.tolist(), unit(stack(queries.vector)), strict=True)):
                 own = int(find(v))
-                hits = np.flatnonzero(x @ q >= least) if exact else range_search(x, graph, q, [medoid, own] if ids[own] == v else [medoid], least)
+                hits = np.flatnonzero(x @ q >= least) if exact else range_search(x, graph, q, [*entries, own] if ids[own] == v else entries, least)
                 hits = hits[ids[hits] != v]
                 row = np.zeros(len(ids), bool)
                 row[hits] = True
@@ -263,14 +287,15 @@ def _sharded(reps: DataFrame, n: int, least: float, overlap: int) -> DataFrame:
     shared = spark.sparkContext.broadcast(centres)
     reps = materialize(reps.mapInPandas(_assign(shared, overlap), "vec_id long, vector array<double>, copies long, shards array<int>"), "reps")
     dealt = reps.withColumn("shard", F.explode("shards"))
-    blocks = dealt.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))  # a row per centre
-    dealt = dealt.join(F.broadcast(blocks), "shard").withColumn("block", F.pmod(F.xxhash64("vec_id"), "n_blocks").cast("int"))
-    edges = materialize(dealt.groupBy("shard", "block").applyInPandas(_build, "src long, dst long").distinct(), "edges")
-
-    # the united lists of each block's members, with the neighbours that they bring in
-    members = dealt.select(F.col("shard").alias("of_shard"), F.col("block").alias("of_block"), F.col("vec_id").alias("src"))
-    lists = members.join(edges, "src").select("of_shard", "of_block", "src", "dst").distinct()
-    halo = lists.select(F.col("of_shard").alias("shard"), F.col("of_block").alias("block"), F.col("dst").alias("vec_id")).distinct().join(reps, "vec_id")
+    blocks = F.broadcast(dealt.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks")))  # a row per centre
+    block = lambda c, shard: F.pmod(F.xxhash64(c, shard), "n_blocks").cast("int")  # noqa: E731  (each shard is split anew)
+    dealt = dealt.join(blocks, "shard").withColumn("block", block("vec_id", "shard"))
+    # the united lists of each block's members, and the neighbours that they bring in: those over edges that are cut here
+    lists = dealt.groupBy("shard", "block").applyInPandas(_build(reach_of(least)), "of_shard int, src long, dst long, near boolean, inner boolean")
+    lists = lists.join(blocks.withColumnRenamed("shard", "of_shard"), "of_shard").withColumn("of_block", block("src", "of_shard"))
+    lists = materialize(lists.withColumn("cut", F.col("near") & (~F.col("inner") | (block("dst", "of_shard") != F.col("of_block")))).select("of_shard", "of_block", "src", "dst", "cut"), "lists")
+    halo = lists.where("cut").select(F.col("of_shard").alias("shard"), F.col("of_block").alias("block"), F.col("dst").alias("vec_id")).distinct().join(reps, "vec_id")
+    lists = lists.drop("cut")
     cols = ["shard", "block", "vec_id", "vector", "copies"]
     nodes = dealt.where("n_blocks = 1").select(*cols, F.lit(0).alias("role"))
     split = dealt.where("n_blocks > 1")

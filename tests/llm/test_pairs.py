@@ -192,6 +192,27 @@ def test_large_shards_are_searched_in_blocks(spark, monkeypatch):
     assert {r.component_id for r in got} == {0}
 
 
+def test_a_group_of_near_copies_is_found_from_other_blocks(spark, monkeypatch):
+    """More of them than a vector has neighbours, so no list leads to them from outside, in blocks of a divided shard."""
+    monkeypatch.setattr(embedding_graph, "BLOCK", 300)
+    monkeypatch.setattr(embedding_graph, "SHARD", 2_000)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=32)
+    rows = [(i, (base + 0.02 * rng.normal(size=32) if i < 250 else rng.normal(size=32)).tolist()) for i in range(900)]
+    got = embedding_graph.embedding_near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), target=0.0).collect()
+    assert sorted(r.n_links for r in got) == sorted(linked_by_brute_force(rows, 0.95).tolist())
+
+
+def test_no_edge_within_reach_is_dropped():
+    """Whatever is within the range of a query is within reach of all that the range expands."""
+    rng = np.random.default_rng(1)
+    for least in (0.5, 0.8, 0.95):
+        q = embedding_graph.unit(rng.normal(size=3))
+        x = embedding_graph.unit(q + rng.normal(size=(400, 3)))
+        expanded, found = x[x @ q >= least - embedding_graph.SLACK], x[x @ q >= least]
+        assert (expanded @ found.T >= embedding_graph.reach_of(least) - 1e-9).all()
+
+
 def vectors_in_pairs(clusters=4, each=300, dims=48):
     """Two near vectors each, in clusters that are so far apart that a graph of nearest neighbours has no way between them."""
     rng = np.random.default_rng(4)
