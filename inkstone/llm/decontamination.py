@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from .common import as_text, materialize, tune
 
 WORD = re.compile(r"[^\W_]+")
-#: Rank and oversampling of the SVD; words of a passage of the corpus; documents, by hash, on whose passages it is fitted.
-RANK, OVERSAMPLE, PASSAGE, FIT_DOCS = 64, 16, 64, 20_000
+#: Rank and oversampling of the SVD; words of a passage of the corpus.
+RANK, OVERSAMPLE, PASSAGE = 64, 16, 64
+#: Rows that are added up side by side in the SVD, and how many such groups are held at once.
+GROUP, HELD_GROUPS = 16, 512
 #: Words of the smallest blocks of which windows are made; documents whose windows are looked at together.
 BLOCK, TOGETHER = 8, 64
 #: Words of such documents at most, unless there is one alone; words and products whose vectors are held at once.
@@ -110,39 +112,57 @@ def _weighted(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return at, x[at] - 1
 
 
-def _project(p: np.ndarray, w: np.ndarray, idf: np.ndarray, q: np.ndarray, total: np.ndarray, weight: float = 1.0) -> int:
-    """Adds A'A Q for the passages p of the words w; A: TF-IDF passages with unit rows.  Returns how many there are."""
-    key, tf = np.unique(p.astype(np.int64) * len(idf) + w, return_counts=True)  # counts of a word in a passage
-    p, w = key // len(idf), key % len(idf)
-    value = (tf * idf[w]).astype(np.float64)
-    starts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
-    norm2 = np.add.reduceat(value * value, starts)
-    sizes = np.diff(np.r_[starts, len(p)])
-    y = np.add.reduceat(q[w] * value[:, None], starts) / norm2[:, None]
-    back = np.repeat(y, sizes, axis=0) * (weight * value)[:, None]
-    order = np.argsort(w, kind="stable")
-    ws = w[order]
-    first = np.flatnonzero(np.r_[True, ws[1:] != ws[:-1]])
-    total[ws[first]] += np.add.reduceat(back[order], first)
-    return len(norm2)
+def run_sums(rows: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of ``rows[at]`` over the runs that begin at ``starts``; the last row is zero.
+
+    Runs are filled up with that row to groups of GROUP, a bounded number of which is gathered at once.
+    """
+    sizes = np.diff(np.r_[starts, len(at)])
+    groups = -(-sizes // GROUP)
+    first = np.cumsum(groups) - groups
+    full = np.full((int(groups.sum()), GROUP), len(rows) - 1)
+    full.ravel()[np.arange(len(at)) + np.repeat(first * GROUP - starts, sizes)] = at
+    sums = np.empty((len(full), rows.shape[1]), rows.dtype)
+    for k in range(0, len(full), HELD_GROUPS):
+        np.einsum("gkj->gj", np.take(rows, full[k : k + HELD_GROUPS], axis=0), out=sums[k : k + HELD_GROUPS])
+    return np.add.reduceat(sums, first)
+
+
+def _project(p: np.ndarray, w: np.ndarray, idf: np.ndarray, scaled: np.ndarray, total: np.ndarray, weight: float = 1.0) -> int:
+    """Adds A'A Q for the words w of the passages p, in order of passage; A: TF-IDF passages with unit rows.  Returns how
+    many there are.  scaled: Q times idf, and a row of zeros.  Whole passages are taken, about HELD_WORDS words at once."""
+    n, k = 0, 0
+    while k < len(p):
+        end = k + int(np.searchsorted(p[k:], p[min(k + HELD_WORDS, len(p)) - 1], "right"))
+        some, own = p[k:end], w[k:end]
+        starts = np.flatnonzero(np.r_[True, some[1:] != some[:-1]])
+        at = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(some)]))
+        key, tf = np.unique(at * len(idf) + own, return_counts=True)  # counts of a word in a passage
+        norm2 = np.bincount(key // len(idf), (tf * idf[key % len(idf)]).astype(np.float64) ** 2)
+        y = np.zeros((len(starts) + 1, scaled.shape[1]), scaled.dtype)
+        y[:-1] = run_sums(scaled, own, starts) / norm2[:, None]
+        order = np.argsort(own, kind="stable")
+        words = own[order]
+        first = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
+        total[words[first]] += run_sums(y, at[order], first) * (weight * idf[words[first], None].astype(np.float64))
+        n, k = n + len(starts), end
+    return n
 
 
 def _power(held):
     """Partial sums of A'A Q over the passages of a task, a row per word, and under -1 how many there were."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        idf, q = held.value
-        total, n = np.zeros(q.shape), 0
+        idf, scaled = held.value
+        total, n = np.zeros((len(idf), scaled.shape[1])), 0
         for pdf in batches:
-            for i in range(0, len(pdf), 256):  # a bounded number of texts at once
-                passages, words, base = [], [], 0
-                for raw in pdf.words.iloc[i : i + 256]:
-                    at, w = _weighted(raw)
-                    passages.append(at // PASSAGE + base)
-                    words.append(w)
-                    base += len(raw) // 4 // PASSAGE + 1
-                if sum(map(len, words)):
-                    n += _project(np.concatenate(passages), np.concatenate(words), idf, q, total)
+            lengths = np.array([len(raw) // 4 for raw in pdf.words], np.int64)
+            passages = -(-lengths // PASSAGE)
+            x = np.frombuffer(b"".join(pdf.words), "<i4")
+            at = np.flatnonzero(x)
+            text = np.repeat(np.arange(len(lengths)), lengths)[at]
+            p = (at - (np.cumsum(lengths) - lengths)[text]) // PASSAGE + (np.cumsum(passages) - passages)[text]
+            n += _project(p, x[at] - 1, idf, scaled, total)
         at = np.flatnonzero(total.any(1))
         yield pd.DataFrame({"word": np.r_[-1, at], "row": [np.full(1, float(n)), *total[at]]})
 
@@ -152,21 +172,22 @@ def _power(held):
 def latent_space(numbers: DataFrame, items: Items, idf: np.ndarray, rank: int = RANK, seed: int = 17) -> np.ndarray:
     """Right singular vectors (words x rank) of TF-IDF passages by a randomised range finder with one power step.
 
-    This fits the index only: on all passages of at most about FIT_DOCS documents, chosen by a hash of their ids, and on
-    the items, which weigh as much as all of the others together.  The words x (rank + oversampling) matrix is summed
-    map-side per task, then per word; its size is bounded by that of the items.
+    It is fitted on all passages of all documents, and on the items, which weigh as much as all of the others together.
+    The words x (rank + oversampling) matrix is summed map-side per task, then per word; its size is bounded by that of the
+    items.
     """
     spark, size = numbers.sparkSession, len(idf)
     width = min(size, rank + OVERSAMPLE)
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, width)))[0]
-    held = spark.sparkContext.broadcast((idf, q))
+    scaled = np.vstack([idf[:, None] * q, np.zeros(width)]).astype(np.float32)
+    held = spark.sparkContext.broadcast((idf, scaled))
     sums = numbers.mapInPandas(_power(held), "word int, row array<double>").select("word", F.posexplode("row").alias("k", "v")).groupBy("word", "k").agg(F.sum("v").alias("v"))
     got = sums.toPandas()
     n = float(got.v[got.word < 0].sum())
     z, got = np.zeros((size, width)), got[got.word >= 0]
     z[got.word, got.k] = got.v
     numbers_ = np.repeat(np.arange(len(items.ids)), [len(w) for w in items.words])
-    _project(numbers_, np.concatenate(items.words), idf, q, z, max(1.0, n / len(items.ids)))
+    _project(numbers_, np.concatenate(items.words), idf, scaled, z, max(1.0, n / len(items.ids)))
     u, _, _ = np.linalg.svd(z, full_matrices=False)
     return u[:, : min(rank, width)].astype(np.float32)
 
@@ -378,8 +399,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     df = np.zeros(size + 1)
     df[got.word] = got.n
     idf = np.log((1 + df[0]) / (1 + df[1:])).astype(np.float32) + np.float32(0.1)
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, FIT_DOCS / max(1.0, df[0])))
-    space = latent_space(numbers.where(part), items, idf)
+    space = latent_space(numbers, items, idf)
     everything = spark.sparkContext.broadcast((items, idf, space))
     found = numbers.mapInPandas(_search(everything), schema)
     return found.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))

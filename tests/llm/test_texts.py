@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from inkstone.llm import bpe, chat_format, decontamination, language_id, pii, secret_scan, warc
@@ -81,6 +82,79 @@ def test_common_subsequence():
         assert decontamination.common_subsequence(a, b) == lcs(a.tolist(), b.tolist())
 
 
+def many_short_texts(spark, n=40_000):
+    """Texts of eight words, more than a bounded sample of documents would hold, and some of several passages."""
+    words = "concat_ws(' ', transform(sequence(1, if(id % 4000 = 7, 150, 8)), j -> concat('w', pmod(hash(id, j), 40 + 260 * (id % 2)))))"
+    return spark.range(0, n, 1, 4).selectExpr("id as doc_id", f"{words} as text")
+
+
+def space_of_all(texts, items):
+    """Brute force for the latent space, as a projection: every passage of every text, counted in a dense matrix."""
+    number = {}
+    for t in items:
+        for w in decontamination.words_of(t):
+            number.setdefault(w, len(number))
+    held = [decontamination.words_of(t) for t in texts]
+    df = np.zeros(len(number))
+    for w in held:
+        df[[number[x] for x in set(w) if x in number]] += 1
+    idf = np.log((1 + len(texts)) / (1 + df)).astype(np.float32) + np.float32(0.1)
+
+    def rows(passages):
+        counts = np.zeros((len(passages), len(number)))
+        for i, w in enumerate(passages):
+            for x in w:
+                if x in number:
+                    counts[i, number[x]] += 1
+        a = (counts * idf)[counts.any(1)]
+        return a / np.linalg.norm(a, axis=1, keepdims=True)
+
+    a, b = rows([w[k : k + decontamination.PASSAGE] for w in held for k in range(0, len(w), decontamination.PASSAGE)]), rows([decontamination.words_of(t) for t in items])
+    q = np.linalg.qr(np.random.default_rng(17).standard_normal((len(number), decontamination.RANK + decontamination.OVERSAMPLE)))[0]
+    u = np.linalg.svd(a.T @ (a @ q) + max(1.0, len(a) / len(b)) * (b.T @ (b @ q)), full_matrices=False)[0][:, : decontamination.RANK]
+    return u @ u.T
+
+
+def fitted(monkeypatch):
+    """The latent spaces that are fitted from now on, as projections."""
+    out, real = [], decontamination.latent_space
+
+    def kept(*args, **names):
+        v = real(*args, **names).astype(np.float64)
+        out.append(v @ v.T)
+        return v.astype(np.float32)
+
+    monkeypatch.setattr(decontamination, "latent_space", kept)
+    return out
+
+
+def test_decontamination_fits_on_every_passage(spark, monkeypatch):
+    """However many documents there are, the latent space is that of all of them, none left out by a hash."""
+    rng, docs, spaces = random.Random(21), many_short_texts(spark), fitted(monkeypatch)
+    items = [prose(rng, 30, 300) for _ in range(40)]
+    decontamination.contaminated(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    want = space_of_all([r.text for r in docs.collect()], items)
+    assert len(spaces) == 1 and np.linalg.norm(spaces[0] - want) < 1e-3 * np.linalg.norm(want)
+
+
+def test_sums_over_passages_in_pieces(monkeypatch):
+    """Few words and groups at once, passages and words that cross pieces, unknown words: the sums are those of A'A Q."""
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 31, n) * (rng.random(n) < 0.8) for n in (0, 1, 64, 65, 700, 3, 128, 0, 5000)] + [np.zeros(70, np.int64)]
+    idf, q = rng.random(30).astype(np.float32) + np.float32(0.1), rng.standard_normal((30, 12))
+    a = np.array([np.bincount(t[k : k + 64], minlength=31)[1:] * idf for t in texts for k in range(0, len(t), 64)])
+    a = a[a.any(1)] / np.linalg.norm(a[a.any(1)], axis=1, keepdims=True)
+    held = type("Held", (), {"value": (idf, np.vstack([idf[:, None] * q, np.zeros(12)]).astype(np.float32))})
+    raws = [t.astype("<i4").tobytes() for t in texts]
+    for words, groups in ((1 << 16, 512), (100, 3), (1, 1)):
+        monkeypatch.setattr(decontamination, "HELD_WORDS", words)
+        monkeypatch.setattr(decontamination, "HELD_GROUPS", groups)
+        batches = [pd.DataFrame({"words": raws[:4]}), pd.DataFrame({"words": raws[4:]}), pd.DataFrame({"words": raws[:0]})]
+        got = pd.concat(decontamination._power(held)(iter(batches)))
+        assert got.word.tolist() == [-1, *range(30)] and got.row.iloc[0].tolist() == [len(a)]
+        assert np.allclose(np.stack(got.row.tolist()[1:]), a.T @ (a @ q), rtol=1e-4, atol=1e-4)
+
+
 def test_decontamination_finds_planted_items(spark):
     rng = random.Random(6)
     items = [(k, prose(rng, rng.choice([12, 20, 45, 90]), 2000) + ". " + prose(rng, 4, 2000) + ".") for k in range(25)]
