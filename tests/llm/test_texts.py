@@ -495,5 +495,21 @@ def test_leaks_go_by_row(spark, tmp_path):
     assert sorted(map(tuple, got), key=str) == sorted([(None, clean[1]), (1, clean[2]), (3, clean[2]), (4, None)], key=str)
 
 
+def test_leaks_fit_on_every_row(spark, tmp_path, monkeypatch):
+    """The stage's latent space is that of all rows it gets, with repeated texts and null ids; it takes out just the leak."""
+    import corpus_pipeline
+
+    rng, spaces = random.Random(22), fitted(monkeypatch)
+    items = [prose(rng, 30, 300) for _ in range(40)]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    few = [(None, "w1 w2 w3"), (5, "w4 w5 w6 w4"), (5, "w4 w5 w6 w4"), (6, "w7 w8 " + items[3])]
+    docs = many_short_texts(spark).unionByName(spark.createDataFrame(few, "doc_id long, text string"))
+    texts = [r.text for r in docs.collect()]
+    got = [r.text for r in corpus_pipeline.leaks(spark, docs, str(tmp_path)).collect()]
+    want = space_of_all(texts, items)
+    assert len(spaces) == 1 and np.linalg.norm(spaces[0] - want) < 1e-3 * np.linalg.norm(want)
+    assert sorted(got) == sorted(t for t in texts if t != few[3][1])
+
+
 def test_corpus_has_what_it_says():
     assert {None, "", " \n\t "} <= {t for _, t in corpus()}
