@@ -23,8 +23,8 @@ from .common import as_text, materialize, tune
 WORD = re.compile(r"[^\W_]+")
 #: Rank and oversampling of the SVD; words of a passage of the corpus.
 RANK, OVERSAMPLE, PASSAGE = 64, 16, 64
-#: Rows that are added up side by side in the SVD, and how many such groups are held at once.
-GROUP, HELD_GROUPS = 16, 512
+#: Rows that are added up side by side in the SVD, how many such groups are held at once, and words of a block of sums.
+GROUP, HELD_GROUPS, ROWS = 16, 512, 256
 #: Words of the smallest blocks of which windows are made; documents whose windows are looked at together.
 BLOCK, TOGETHER = 8, 64
 #: Words of such documents at most, unless there is one alone; words and products whose vectors are held at once.
@@ -150,7 +150,7 @@ def _project(p: np.ndarray, w: np.ndarray, idf: np.ndarray, scaled: np.ndarray,
 
 
 def _power(held):
-    """Partial sums of A'A Q over the passages of a task, a row per word, and under -1 how many there were."""
+    """Partial sums of A'A Q over the passages of a task, in blocks of ROWS words, and under -1 how many there were."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         idf, scaled = held.value
@@ -163,17 +163,27 @@ def _power(held):
             text = np.repeat(np.arange(len(lengths)), lengths)[at]
             p = (at - (np.cumsum(lengths) - lengths)[text]) // PASSAGE + (np.cumsum(passages) - passages)[text]
             n += _project(p, x[at] - 1, idf, scaled, total)
-        at = np.flatnonzero(total.any(1))
-        yield pd.DataFrame({"word": np.r_[-1, at], "row": [np.full(1, float(n)), *total[at]]})
+        at = [k for k in range(0, len(total), ROWS) if total[k : k + ROWS].any()]
+        yield pd.DataFrame({"block": [-1, *(k // ROWS for k in at)], "sums": [np.full(1, float(n)).tobytes(), *(total[k : k + ROWS].tobytes() for k in at)]})
 
     return run
 
 
+def _added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sums of each block over all tasks."""
+    out: dict[int, np.ndarray] = {}
+    for pdf in batches:
+        for block, raw in zip(pdf.block.tolist(), pdf["sums"], strict=True):
+            x = np.frombuffer(raw, np.float64)
+            out[block] = out[block] + x if block in out else x
+    yield pd.DataFrame({"block": list(out), "sums": [x.tobytes() for x in out.values()]})
+
+
 def latent_space(numbers: DataFrame, items: Items, idf: np.ndarray, rank: int = RANK, seed: int = 17) -> np.ndarray:
     """Right singular vectors (words x rank) of TF-IDF passages by a randomised range finder with one power step.
 
     It is fitted on all passages of all documents, and on the items, which weigh as much as all of the others together.
-    The words x (rank + oversampling) matrix is summed map-side per task, then per word; its size is bounded by that of the
+    The words x (rank + oversampling) matrix is summed map-side per task, then per block; its size is bounded by that of the
     items.
     """
     spark, size = numbers.sparkSession, len(idf)
@@ -181,11 +191,15 @@ def latent_space(numbers: DataFrame, items: Items, idf: np.ndarray, rank: int =
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, width)))[0]
     scaled = np.vstack([idf[:, None] * q, np.zeros(width)]).astype(np.float32)
     held = spark.sparkContext.broadcast((idf, scaled))
-    sums = numbers.mapInPandas(_power(held), "word int, row array<double>").select("word", F.posexplode("row").alias("k", "v")).groupBy("word", "k").agg(F.sum("v").alias("v"))
-    got = sums.toPandas()
-    n = float(got.v[got.word < 0].sum())
-    z, got = np.zeros((size, width)), got[got.word >= 0]
-    z[got.word, got.k] = got.v
+    sums = "block int, sums binary"
+    got = numbers.mapInPandas(_power(held), sums).repartition("block").mapInPandas(_added, sums).toPandas()
+    z, n = np.zeros((size, width)), 0.0
+    for block, raw in zip(got.block.tolist(), got["sums"], strict=True):
+        x = np.frombuffer(raw, np.float64)
+        if block < 0:
+            n = float(x[0])
+        else:
+            z[block * ROWS : (block + 1) * ROWS] = x.reshape(-1, width)
     numbers_ = np.repeat(np.arange(len(items.ids)), [len(w) for w in items.words])
     _project(numbers_, np.concatenate(items.words), idf, scaled, z, max(1.0, n / len(items.ids)))
     u, _, _ = np.linalg.svd(z, full_matrices=False)

@@ -146,13 +146,18 @@ def test_sums_over_passages_in_pieces(monkeypatch):
     a = a[a.any(1)] / np.linalg.norm(a[a.any(1)], axis=1, keepdims=True)
     held = type("Held", (), {"value": (idf, np.vstack([idf[:, None] * q, np.zeros(12)]).astype(np.float32))})
     raws = [t.astype("<i4").tobytes() for t in texts]
+    monkeypatch.setattr(decontamination, "ROWS", 8)
     for words, groups in ((1 << 16, 512), (100, 3), (1, 1)):
         monkeypatch.setattr(decontamination, "HELD_WORDS", words)
         monkeypatch.setattr(decontamination, "HELD_GROUPS", groups)
         batches = [pd.DataFrame({"words": raws[:4]}), pd.DataFrame({"words": raws[4:]}), pd.DataFrame({"words": raws[:0]})]
-        got = pd.concat(decontamination._power(held)(iter(batches)))
-        assert got.word.tolist() == [-1, *range(30)] and got.row.iloc[0].tolist() == [len(a)]
-        assert np.allclose(np.stack(got.row.tolist()[1:]), a.T @ (a @ q), rtol=1e-4, atol=1e-4)
+        tasks = [pd.concat(decontamination._power(held)(iter(b))) for b in (batches, batches[:1])]
+        assert all(t.block.tolist() == [-1, 0, 1, 2, 3] for t in tasks)
+        twice = pd.concat(decontamination._added(iter(tasks))).set_index("block")["sums"].map(np.frombuffer)
+        once = tasks[1].set_index("block")["sums"].map(np.frombuffer)
+        got = {k: twice[k] - once[k] for k in twice.index}
+        assert got[-1].tolist() == [len(a)]
+        assert np.allclose(np.concatenate([got[k] for k in range(4)]).reshape(30, 12), a.T @ (a @ q), rtol=1e-4, atol=1e-4)
 
 
 def test_decontamination_finds_planted_items(spark):
